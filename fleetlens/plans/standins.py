@@ -45,32 +45,32 @@ FROM orders GROUP BY o_custkey
 """
 
 VIEWS["v_damages"] = """
-SELECT plate_original, case_id, pos, damage_id, type, grp, side, part, part_local, severity, CAST(NULL AS STRING) AS severity_local, n_coords,
-  CASE WHEN case_id % 29 = 0 THEN NULL ELSE min(l_shipdate) OVER (PARTITION BY case_id) END AS case_ts,
-  CAST(0 AS INT) AS source_pos, pos AS damage_pos, CAST(NULL AS BOOLEAN) AS payload_empty
-FROM (SELECT concat('M ', CAST(o_custkey AS STRING)) AS plate_original, l_orderkey AS case_id, l_shipdate,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS pos,
-    concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS damage_id,
-    CASE l_partkey % 14 WHEN 0 THEN 'TYPE_SCRATCH' WHEN 1 THEN 'TYPE_STONE_CHIP' WHEN 2 THEN 'TYPE_STONE_CHIP_WITH_CRACK' WHEN 3 THEN 'TYPE_DENT'
-      WHEN 4 THEN 'TYPE_DENTED' WHEN 5 THEN 'TYPE_CRACK' WHEN 6 THEN 'TYPE_HOLE' WHEN 7 THEN 'TYPE_BROKEN' WHEN 8 THEN 'TYPE_MISSING'
-      WHEN 9 THEN 'TYPE_LOOSE' WHEN 10 THEN 'TYPE_CRASH' WHEN 11 THEN 'TYPE_HAIL_DAMAGE' WHEN 12 THEN 'TYPE_UNSEEN' END AS type,
-    CASE l_suppkey % 5 WHEN 0 THEN 'WINDOWS' WHEN 1 THEN 'TYRES' WHEN 2 THEN 'BODY' WHEN 3 THEN 'BUMPER' END AS grp,
-    CASE l_returnflag WHEN 'A' THEN 'DRIVER_SIDE' WHEN 'R' THEN 'PASSENGER_SIDE' ELSE 'CENTER' END AS side,
-    CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE concat('part', CAST(l_partkey % 20 AS STRING)) END AS part,
-    CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Door, front' END AS part_local,
-    CASE l_linestatus WHEN 'F' THEN 'SEVERITY_UP_TO_3_CM' ELSE 'SEVERITY_OVER_10_CM' END AS severity,
-    l_linenumber % 3 AS n_coords
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) t
+SELECT concat('M ', CAST(o_custkey AS STRING)) AS plate_original, l_orderkey AS case_id,
+  ((l_linenumber * 10000000000 + l_partkey) * 1000 + l_suppkey % 1000) * 64 + CAST(l_quantity AS BIGINT) AS pos,
+  concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS damage_id,
+  CASE l_partkey % 14 WHEN 0 THEN 'TYPE_SCRATCH' WHEN 1 THEN 'TYPE_STONE_CHIP' WHEN 2 THEN 'TYPE_STONE_CHIP_WITH_CRACK' WHEN 3 THEN 'TYPE_DENT'
+    WHEN 4 THEN 'TYPE_DENTED' WHEN 5 THEN 'TYPE_CRACK' WHEN 6 THEN 'TYPE_HOLE' WHEN 7 THEN 'TYPE_BROKEN' WHEN 8 THEN 'TYPE_MISSING'
+    WHEN 9 THEN 'TYPE_LOOSE' WHEN 10 THEN 'TYPE_CRASH' WHEN 11 THEN 'TYPE_HAIL_DAMAGE' WHEN 12 THEN 'TYPE_UNSEEN' END AS type,
+  CASE l_suppkey % 5 WHEN 0 THEN 'WINDOWS' WHEN 1 THEN 'TYRES' WHEN 2 THEN 'BODY' WHEN 3 THEN 'BUMPER' END AS grp,
+  CASE l_returnflag WHEN 'A' THEN 'DRIVER_SIDE' WHEN 'R' THEN 'PASSENGER_SIDE' ELSE 'CENTER' END AS side,
+  CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE concat('part', CAST(l_partkey % 20 AS STRING)) END AS part,
+  CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Door, front' END AS part_local,
+  CASE l_linestatus WHEN 'F' THEN 'SEVERITY_UP_TO_3_CM' ELSE 'SEVERITY_OVER_10_CM' END AS severity,
+  CASE WHEN l_partkey % 11 = 0 THEN 'SEVERITY_LOCAL' END AS severity_local,
+  l_linenumber % 3 AS n_coords,
+  CASE WHEN l_orderkey % 29 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 200 DAY ELSE o_orderdate END AS case_ts,
+  0 AS source_pos, CAST(l_linenumber AS INT) AS damage_pos, CAST(NULL AS BOOLEAN) AS payload_empty
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """
 
 VIEWS["v_detections"] = """
-SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY k, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS det_id,
+SELECT image_id, ((k * 8 + l_linenumber) * 1000 + l_suppkey % 1000) * 64 + CAST(l_quantity AS BIGINT) AS det_id,
   CASE l_returnflag WHEN 'A' THEN 'pro' WHEN 'N' THEN 'flash' ELSE 'third' END AS model,
   CASE l_linestatus WHEN 'F' THEN 'human' ELSE 'model' END AS source, CAST(k % 9 AS INT) AS tile_idx,
   CASE l_linenumber WHEN 1 THEN 'scratch' WHEN 2 THEN 'stone_chip' WHEN 3 THEN 'dent' WHEN 4 THEN 'crack' WHEN 5 THEN 'missing' WHEN 6 THEN 'major' ELSE 'other' END AS label,
   CASE WHEN k % 50 = 0 THEN NULL ELSE CAST((k * 13 + l_linenumber * 17) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS confidence,
   CAST(y0 AS DOUBLE) AS ymin, CAST(x0 AS DOUBLE) AS xmin, CAST(y0 + bh AS DOUBLE) AS ymax, CAST(x0 + bw AS DOUBLE) AS xmax
-FROM (SELECT l_partkey AS image_id, l_orderkey AS k, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus,
+FROM (SELECT l_partkey AS image_id, l_orderkey AS k, l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus,
     CASE WHEN l_partkey % 3 = 0 THEN 400 + l_orderkey * 7 % 80 ELSE (l_orderkey * 53 + l_linenumber * 101) % 800 END AS y0,
     CASE WHEN l_partkey % 3 = 0 THEN 400 + l_orderkey % 80 ELSE (l_orderkey * 37 + l_suppkey * 11) % 800 END AS x0,
     CASE WHEN l_partkey % 3 = 0 THEN 5 + l_orderkey % 10 ELSE 60 + l_orderkey * 7 % 140 END AS bh,
@@ -114,7 +114,7 @@ FROM events
 """
 
 VIEWS["v_annotation_log"] = """
-SELECT (event_id - event_id % 5) / 5 AS anno_key, CAST(floor((event_id - event_id % 5) / 5) AS BIGINT) AS anno_id, event_id AS seq, ts,
+SELECT CAST(floor((event_id - event_id % 5) / 5) AS BIGINT) AS anno_id, event_id AS seq, ts,
   CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'patch' END AS op,
   user_id AS image_id, CASE WHEN event_id % 3 = 0 THEN 'model' ELSE 'human' END AS source,
   CASE WHEN event_type IN ('signup', 'view') THEN CAST(event_id % 90 AS DOUBLE) / CAST(100 AS DOUBLE) END AS x,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,14 +208,13 @@ def scan_damages(sessions: DataFrame) -> DataFrame:
     )
 
 
-def time_chunks(spark: SparkSession, start: datetime, end: datetime, hours: int = 6) -> DataFrame:
-    """Half-open chunks from ``start`` to ``end``; the last one is clipped."""
-    span = spark.range(1).select(F.lit(start).alias("a"), F.lit(end).alias("b"))
+def time_chunks(span: DataFrame, hours: int = 6) -> DataFrame:
+    """Half-open chunks of ``span`` (one row: start_ts, end_ts); the last one is clipped."""
     step = F.make_dt_interval(hours=F.lit(hours))
     return (
-        span.select(F.explode(F.sequence("a", "b", step)).alias("chunk_start"), "b")
-        .where(F.col("chunk_start") < F.col("b"))
-        .select("chunk_start", F.least(F.col("chunk_start") + step, F.col("b")).alias("chunk_end"))
+        span.select(F.explode(F.sequence("start_ts", "end_ts", step)).alias("chunk_start"), "end_ts")
+        .where(F.col("chunk_start") < F.col("end_ts"))
+        .select("chunk_start", F.least(F.col("chunk_start") + step, F.col("end_ts")).alias("chunk_end"))
     )
 
 
