@@ -139,3 +139,10 @@ def class_samples(cars: DataFrame, per_class: int = 3) -> DataFrame:
     long = cars.select(F.explode("damage_classes").alias("damage_class"), "plate_safe", "car_score")
     rank = F.row_number().over(Window.partitionBy("damage_class").orderBy(*_best_first()))
     return long.withColumn("place", rank).where(F.col("place") <= per_class)
+
+
+def images_by_view(images: DataFrame) -> DataFrame:
+    """Images of every car sorted by view, then id, with their 1-based place. A car may outgrow a task."""
+    rows = images.withColumn("_one", F.lit(1))
+    order = [F.col("view"), F.col("image_id")]
+    return stats.with_running(rows, ["plate"], order, {"place": ("sum", "_one")}).drop("_one")

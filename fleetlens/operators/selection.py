@@ -53,7 +53,7 @@ def stratified_pick(eligible: DataFrame, targets: dict[str, int] | None = None)
 def pick_showcase(selected: DataFrame, targets: list[tuple[str, int]] | None = None, limit: int = 10) -> DataFrame:
     """A few top cars of each class, none twice, with their place in the list."""
     targets = vocab.SHOWCASE_TARGETS if targets is None else targets
-    rows = selected.select("plate_safe", "car_score", "damage_classes")
+    rows = cut_lineage(selected.select("plate_safe", "car_score", "damage_classes"))
     picked = None
     for step_no, (cls, n) in enumerate(targets):
         rest = rows if picked is None else rows.join(picked.select("plate_safe"), "plate_safe", "left_anti")

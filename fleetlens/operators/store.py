@@ -146,7 +146,7 @@ def coco_export(annotations: DataFrame, images: DataFrame) -> tuple[DataFrame, D
         F.min("id").alias("first_id"), F.first("file_name").alias("file_name"),
         F.first("width").alias("width"), F.first("height").alias("height"),
     )
-    numbered = stats.with_global_position(first, [F.col("first_id")]).withColumn("coco_id", F.col("position") + 1)
+    numbered = stats.with_global_position(first, [F.col("first_id"), F.col("image_id")]).withColumn("coco_id", F.col("position") + 1)
     x, y, w, h = B.unit_to_pixels(*[F.col(c) for c in ("x", "y", "w", "h", "width", "height")])
     category = S.lookup(F.col("label"), {c: i + 1 for i, c in enumerate(vocab.DAMAGE_CLASSES)}, F.lit(7))
     annos = human.join(numbered.select("image_id", "coco_id"), "image_id").select(

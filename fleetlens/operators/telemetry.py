@@ -50,7 +50,8 @@ def session_rollup(photos: DataFrame, n_expected: int = 12) -> DataFrame:
     """Session totals. Optional photo columns: n_damages, auto_retry_count."""
     zero = F.lit(0)
     extra = {c: (F.col(c) if c in photos.columns else zero) for c in ("n_damages", "auto_retry_count")}
-    seconds = (F.unix_micros(F.max("captured_at")) - F.unix_micros(F.min("captured_at"))) / 1000000.0
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))  # logged times may come without a zone
+    seconds = (micros(F.max("captured_at")) - micros(F.min("captured_at"))) / 1000000.0
     done = F.countDistinct("view_idx")
     totals = photos.groupBy("session_id").agg(
         F.lit(n_expected).alias("n_expected_views"), done.alias("n_completed_views"),

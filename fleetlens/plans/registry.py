@@ -22,10 +22,12 @@ def relation(name: str, sql: str) -> None:
 def check_sql(body: str) -> str:
     """Prefix ``body`` with the WITH clause of all relations it reads, in order of use."""
     order: list[str] = []
+    seen: set[str] = set()  # a recursive relation names itself
 
     def visit(text: str) -> None:
         for name in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", text):
-            if name in RELATIONS and name not in order:
+            if name in RELATIONS and name not in seen:
+                seen.add(name)
                 visit(RELATIONS[name])
                 order.append(name)
 
@@ -33,8 +35,13 @@ def check_sql(body: str) -> str:
     if not order:
         return body
     steps = ",\n".join(f"{n} AS ({RELATIONS[n].strip()})" for n in order)
-    word = "WITH RECURSIVE" if any("UNION ALL" in RELATIONS[n] for n in order) else "WITH"
-    return f"{word} {steps}\n{body.strip()}"
+    own_name = any(re.search(rf"\b{n}\b", RELATIONS[n]) for n in order)
+    word = "WITH RECURSIVE" if own_name or "RECURSIVE" in body[:20] else "WITH"
+    body = body.replace("WITH RECURSIVE", "WITH", 1)
+    body = body.strip()
+    if body.upper().startswith("WITH "):
+        return f"{word} {steps},\n{body[5:]}"
+    return f"{word} {steps}\n{body}"
 
 
 def query(name: str, sql: str | None = None):

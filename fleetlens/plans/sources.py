@@ -56,12 +56,16 @@ def export_photos(t: Tables) -> DataFrame:
 
 def register_docs(t: Tables) -> DataFrame:
     """(plate_original, payload): one keyed document per registered damage."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    signed = F.when(F.col("case_id") % 3 == 0, "").otherwise(F.concat(
+        F.lit("?X-Amz-Date=2024"), two(1 + F.col("case_id") % 12), two(1 + F.col("pos") % 28), F.lit("T101500Z")
+    ))
     mark = lambda i: F.struct(
         F.concat(F.lit("P"), i.cast("string")).alias("projection"), F.lit("S").alias("segment"),
         F.array(F.struct(
             F.concat("damage_id", F.lit("."), i.cast("string")).alias("photo_id"),
             F.when(F.col("case_id") % 2 == 0, "DETAIL").alias("type"),
-            F.when(F.col("case_id") % 5 != 0, F.concat(F.lit("https://img.invalid/d/"), F.col("pos").cast("string"))).alias("url"),
+            F.when(F.col("case_id") % 5 != 0, F.concat(F.lit("https://img.invalid/d/"), F.col("pos").cast("string"), signed)).alias("url"),
         )).alias("photos"),
     )
     coords = F.when(F.col("n_coords") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n_coords", F.lit(1))), mark)).otherwise(

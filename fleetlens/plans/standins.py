@@ -126,6 +126,20 @@ SELECT CAST(floor((event_id - event_id % 5) / 5) AS BIGINT) AS anno_id, event_id
 FROM events
 """
 
+VIEWS["v_store_cars"] = """
+SELECT concat('M_', CAST(c_custkey AS STRING)) AS plate_safe, concat('M ', CAST(c_custkey AS STRING)) AS plate_original,
+  CAST(floor(c_acctbal / 10) AS DOUBLE) / CAST(10 AS DOUBLE) AS car_score, c_nationkey % 11 AS n_unique_views, c_custkey % 5 AS n_damages,
+  CASE WHEN c_custkey % 50 = 0 THEN 1 END AS is_test
+FROM customer
+"""
+
+VIEWS["v_annotations"] = """
+SELECT det_id AS id, image_id, source, label, xmin / CAST(1000 AS DOUBLE) AS x, ymin / CAST(1000 AS DOUBLE) AS y,
+  (xmax - xmin) / CAST(1000 AS DOUBLE) AS w, (ymax - ymin) / CAST(1000 AS DOUBLE) AS h,
+  CASE tile_idx % 3 WHEN 0 THEN 'light' WHEN 1 THEN 'severe' END AS severity, CASE tile_idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS paint_damaged
+FROM v_detections
+"""
+
 VIEWS["v_raters"] = """
 SELECT doc_id AS item_id, quality AS rater_a, toxic AS rater_b FROM labels
 """

@@ -42,7 +42,9 @@ def rows_of(columns, rows):
 
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     df = registry.queries()[name](spark, folder)
+    start = time.time()
     got_rows = [tuple(r) for r in df.collect()]
+    took = time.time() - start
     sql = registry.checks().get(name)
     if sql is None:
         return True, f"rows only: {len(got_rows)}"
@@ -53,7 +55,7 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} != {sorted(want_cols)}"
     got, want = rows_of(df.columns, got_rows), rows_of(want_cols, want_rows)
     if got == want:
-        return True, f"{len(got)} rows"
+        return True, f"{len(got)} rows, collect {took:.1f}s"
     extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
     return False, f"rows {len(got)}/{len(want)}; only spark {extra}; only check {missing}"
 
