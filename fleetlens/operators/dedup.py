@@ -9,7 +9,8 @@ from fleetlens.functions import stats, vocab
 from fleetlens.operators import quality
 from fleetlens.session import cut_lineage
 
-DIGITS = 64  # hex digits of a 256-bit hash
+BITS = 256
+WORD = 64
 WORDS = ["w0", "w1", "w2", "w3"]
 
 
@@ -28,32 +29,46 @@ def hamming(left: str = "", right: str = "b_") -> Column:
     return total
 
 
-def _cuts(digits: int, parts: int) -> list[tuple[int, int]]:
-    """(1-based start, length) of ``parts`` near-equal pieces."""
-    edges = [digits * i // parts for i in range(parts + 1)]
-    return [(a + 1, b - a) for a, b in zip(edges, edges[1:])]
+Range = tuple[int, int]
 
 
-def _bands(text: Column, digits: int, parts: int) -> Column:
-    return F.array(*[F.substr(text, F.lit(a), F.lit(n)) for a, n in _cuts(digits, parts)])
+def _cuts(ranges: list[Range], parts: int) -> list[list[Range]]:
+    """Cut the bits of ``ranges`` (first bit, end) into ``parts`` near-equal runs."""
+    bits = [b for lo, hi in ranges for b in range(lo, hi)]
+    runs = []
+    for k in range(parts):
+        run: list[Range] = []
+        for bit in bits[len(bits) * k // parts: len(bits) * (k + 1) // parts]:
+            if run and run[-1][1] == bit and bit % WORD:
+                run[-1] = (run[-1][0], bit + 1)
+            else:
+                run.append((bit, bit + 1))
+        runs.append(run)
+    return runs
 
 
-def _first_common(left: Column, right: Column, at: Column, parts: int) -> Column:
-    """The pair shares no band before number ``at``, so it is reported once."""
-    cond = F.lit(True)
-    for k in range(parts - 1):
-        cond = cond & ((at <= k) | (left[k] != right[k]))
-    return cond
+def _value(run: list[Range]) -> Column:
+    """The bits of a run (at most 63, each range inside one word) as one integer."""
+    total = F.lit(0).cast("long")
+    for lo, hi in run:
+        piece = F.shiftrightunsigned(F.col(WORDS[lo // WORD]), WORD - 1 - (hi - 1) % WORD)
+        mask = F.lit((1 << (hi - lo)) - 1).cast("long")
+        total = F.shiftleft(total, hi - lo).bitwiseOR(piece.bitwiseAND(mask))
+    return total
+
 
+def _pairs_in(rows: DataFrame, keys: list[str], t: int) -> DataFrame:
+    """Pairs of one bucket within distance ``t``. Needs id and the words.
 
-def _pairs_in(rows: DataFrame, keys: list[str], t: int, once: Column | None = None) -> DataFrame:
-    """Pairs of one bucket within distance ``t``. Needs id, words and the columns used by ``once``."""
-    other = rows.select(*keys, *[F.col(c).alias("b_" + c) for c in rows.columns if c not in keys])
-    cond = (F.col("id") < F.col("b_id")) & (hamming() <= t)
-    if once is not None:
-        cond = cond & once
-    return rows.join(other, keys).where(cond).select(
-        F.col("id").alias("a"), F.col("b_id").alias("b"), hamming().alias("distance")
+    Sort-merge, so that a bucket never has to fit in memory and the skew split applies. Both sides are
+    the same relation and share one shuffle.
+    """
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col("l." + k) == F.col("r." + k))
+    close = (F.col("l.id") < F.col("r.id")) & (hamming("l.", "r.") <= t)
+    return rows.alias("l").join(rows.alias("r").hint("merge"), same & close).select(
+        F.col("l.id").alias("a"), F.col("r.id").alias("b"), hamming("l.", "r.").alias("distance")
     )
 
 
@@ -89,59 +104,58 @@ def _star_rounds(rows: DataFrame, t: int, rounds: int = 8, salts: int = 64) -> D
         bridged = inner.join(ring, "bucket").where(hamming("", "r_") <= t)
         add(bridged.groupBy("r_id").agg(F.min("id").alias("a")).select("a", F.col("r_id").alias("b")))
         rest = near.where(F.col("d") > t).select("bucket", "id", *WORDS, "_salt")
-    add(_pairs_in(rest.drop("_salt"), ["bucket"], t).select("a", "b"))
+    add(_pairs_in(rest.drop("_salt"), ["bucket"], t).select("a", "b"))  # exact, whatever is left
     return edges
 
 
 def close_pairs(
-    reps: DataFrame, t: int = vocab.HASH_DISTANCE, bucket_cap: int = 2000, complete: bool = True, digits: int = DIGITS
+    reps: DataFrame, t: int = vocab.HASH_DISTANCE, bucket_cap: int = 2000, complete: bool = True
 ) -> DataFrame:
-    """Pairs (a < b) of distinct hashes that differ in at most ``t`` bits. ``reps``: id, phash.
+    """Pairs (a < b) of distinct hashes that differ in at most ``t`` bits. ``reps``: id and the hash words.
 
     Two such hashes agree in at least one of ``t + 1`` bands, so only rows sharing a band value meet. A
-    band value held by more than ``bucket_cap`` rows is split by the bands of the remaining digits. If
-    that still leaves crowded buckets, ``complete=False`` returns connecting edges for them instead of all
-    their pairs, which is enough for grouping.
+    band value held by more than ``bucket_cap`` rows is split by the bands of the remaining bits. With
+    ``complete`` every pair comes once. Without, a pair may repeat, and buckets still crowded after the
+    split give connecting edges instead of all their pairs, which is enough for grouping.
     """
     parts = t + 1
-    rows = with_words(reps).withColumn("bands", _bands(F.col("phash"), digits, parts))
-    banded = rows.select("*", F.posexplode("bands").alias("i", "v"))
-    first = _first_common(F.col("bands"), F.col("b_bands"), F.col("i"), parts)
-    keep = ["id", "bands", *WORDS]
+    bands = _cuts([(0, BITS)], parts)
+    rows = reps.select("id", *WORDS)
+    banded = rows.select("id", *WORDS, F.posexplode(F.array(*[_value(run) for run in bands])).alias("i", "v"))
     crowded = banded.groupBy("i", "v").agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select("i", "v")
     if crowded.isEmpty():
-        return _pairs_in(banded.select("i", "v", *keep), ["i", "v"], t, first)
+        pairs = _pairs_in(banded, ["i", "v"], t)
+        return pairs.distinct() if complete else pairs.select("a", "b")
 
     crowded = cut_lineage(crowded)
-    out = _pairs_in(banded.join(crowded, ["i", "v"], "left_anti").select("i", "v", *keep), ["i", "v"], t, first)
+    pairs = _pairs_in(banded.join(crowded, ["i", "v"], "left_anti"), ["i", "v"], t)
     hot = banded.join(crowded, ["i", "v"], "left_semi")
-    starts = F.array(*[F.lit(a) for a, _ in _cuts(digits, parts)])
-    after = F.array(*[F.lit(a + n) for a, n in _cuts(digits, parts)])
-    rest = F.concat(
-        F.substr(F.col("phash"), F.lit(1), F.get(starts, F.col("i")) - 1),
-        F.substr(F.col("phash"), F.get(after, F.col("i"))),
-    )
-    shortest = digits - max(n for _, n in _cuts(digits, parts))
-    hot = hot.withColumn("subs", _bands(rest, shortest, parts))
-    # the last sub-band takes whatever is left of a longer remainder
-    last_start, _ = _cuts(shortest, parts)[-1]
-    hot = hot.withColumn("subs", F.concat(F.slice("subs", 1, parts - 1), F.array(F.substr(rest, F.lit(last_start)))))
-    split = cut_lineage(hot.select("i", "v", *keep, "subs", F.posexplode("subs").alias("j", "u")))
+    splits = None
+    for k in range(parts):
+        others = [r for n, run in enumerate(bands) if n != k for r in run]
+        values = F.array(*[_value(run) for run in _cuts(others, parts)])
+        splits = F.when(F.col("i") == k, values) if splits is None else splits.when(F.col("i") == k, values)
+    split = cut_lineage(hot.select("id", *WORDS, "i", "v", F.posexplode(splits).alias("j", "u")))
     keys = ["i", "v", "j", "u"]
-    still = split.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select(*keys)
-    both = first & _first_common(F.col("subs"), F.col("b_subs"), F.col("j"), parts)
-    if complete or still.isEmpty():
-        return out.unionByName(_pairs_in(split, keys, t, both))
-    still = cut_lineage(still)
-    out = out.unionByName(_pairs_in(split.join(still, keys, "left_anti"), keys, t, both))
+    if complete:
+        return pairs.unionByName(_pairs_in(split, keys, t)).distinct()
+    still = cut_lineage(
+        split.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select(*keys)
+    )
+    pairs = pairs.unionByName(_pairs_in(split.join(still, keys, "left_anti"), keys, t)).select("a", "b")
+    if still.isEmpty():
+        return pairs
     packed = split.join(still, keys, "left_semi").withColumn("bucket", F.struct(*keys))
-    stars = _star_rounds(packed, t)
-    return out.select("a", "b").unionByName(stars)
+    return pairs.unionByName(_star_rounds(packed, t))
 
 
 def representatives(images: DataFrame) -> DataFrame:
-    """One row per distinct hash: its smallest image id and the number of copies."""
-    return images.groupBy("phash").agg(F.min("image_id").alias("id"), F.count("*").alias("copies"))
+    """One row per distinct hash, with its words, its smallest image id and the number of copies.
+
+    Written once: the crowding check, both sides of the pair join and the labelling read it again.
+    """
+    reps = images.groupBy("phash").agg(F.min("image_id").alias("id"), F.count("*").alias("copies"))
+    return cut_lineage(with_words(reps))
 
 
 def window_pairs(images: DataFrame, t: int = vocab.HASH_DISTANCE, window: int = 50) -> DataFrame:
@@ -163,7 +177,7 @@ def near_duplicate_pairs(images: DataFrame, t: int = vocab.HASH_DISTANCE) -> Dat
     (smallest image, copy) per exact copy."""
     reps = representatives(images)
     copies = (
-        images.select("image_id", "phash").join(reps, "phash").where(F.col("image_id") != F.col("id"))
+        images.select("image_id", "phash").join(reps.hint("merge"), "phash").where(F.col("image_id") != F.col("id"))
         .select(F.col("id").alias("a"), F.col("image_id").alias("b"), F.lit(0).alias("distance"))
     )
     return close_pairs(reps, t).unionByName(copies)
@@ -191,7 +205,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = tidy(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = cut_lineage(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
@@ -224,7 +237,8 @@ def near_duplicates(
     labelled = reps.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "phash", F.coalesce("component", "id").alias("cluster_id")
     )
-    return images.select("image_id", "phash").join(labelled, "phash").select("image_id", "cluster_id")
+    # merge: both sides grow with the data, and a hash with many copies is split by the skew rule
+    return images.select("image_id", "phash").join(labelled.hint("merge"), "phash").select("image_id", "cluster_id")
 
 
 def cluster_best(scored: DataFrame, clusters: DataFrame) -> DataFrame:

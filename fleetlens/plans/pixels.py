@@ -1 +1,51 @@
+"""Per-pixel jobs. The pictures are the bytes of every document, sixteen gray pixels wide, in the form in
+which the image source delivers decoded files."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.operators import images as I
+from fleetlens.plans.registry import query
+
+WIDTH = 16
+
+
+def pictures(t) -> DataFrame:
+    """Every thirteenth document is a file that could not be decoded."""
+    data = F.encode("text", "UTF-8")
+    height = F.ceil(F.octet_length(data) / WIDTH).cast("int")
+    padded = F.rpad(data, height * WIDTH, F.unhex(F.lit("00")))
+    broken = F.col("doc_id") % 13 == 0
+    origin = F.concat(F.lit("file:/photos/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("_0.jpg"))
+    bad = F.lit(-1)
+    return t.documents.select(
+        F.struct(
+            origin.alias("origin"), F.when(broken, bad).otherwise(height).alias("height"),
+            F.when(broken, bad).otherwise(WIDTH).alias("width"), F.when(broken, bad).otherwise(1).alias("nChannels"),
+            F.when(broken, bad).otherwise(0).alias("mode"), F.when(broken, F.unhex(F.lit(""))).otherwise(padded).alias("data"),
+        ).alias("image"),
+        F.octet_length(data).cast("long").alias("file_size"),
+    )
+
+
+@query("i01_image_metrics")
+def _(t):
+    return I.with_names(I.split_errors(I.image_metrics(pictures(t)))[0]).drop("phash", "error")
+
+
+@query("i02_perceptual_hash")
+def _(t):
+    return I.split_errors(I.image_metrics(pictures(t)))[0].select("path", "phash")
+
+
+@query("i03_decode_errors", """
+SELECT count(*) AS n_images, count_if(doc_id % 13 <> 0) AS n_ok, count_if(doc_id % 13 = 0) AS n_errors FROM documents""")
+def _(t):
+    return I.error_counts(I.image_metrics(pictures(t)))
+
+
+@query("i04_dimensions", """
+SELECT concat('file:/photos/', source, '/', doc_id, '_0.jpg') AS path, CASE WHEN doc_id % 13 = 0 THEN 0 ELSE 16 END AS width,
+  CASE WHEN doc_id % 13 = 0 THEN 0 ELSE CAST(ceil(strlen(text) / 16) AS INT) END AS height FROM documents""")
+def _(t):
+    return I.dimensions(pictures(t))

@@ -1 +1,91 @@
+"""Tables that change, in batch and as streams."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.operators import store
+from fleetlens.plans.registry import query
+from fleetlens.plans.sources import brand_files
+from fleetlens.plans.standins import VIEWS, Tables
+from fleetlens.session import scratch_path
+from fleetlens.sources import sinks
+from fleetlens.streaming import scans
+
+
+@query("t04_upsert_predictions", """
+WITH split AS (SELECT *, created_at < TIMESTAMP '2024-01-16' AS old FROM v_predictions WHERE NOT failed),
+had AS (SELECT * FROM split WHERE old QUALIFY row_number() OVER (PARTITION BY image_id, model ORDER BY created_at DESC, seq DESC) = 1),
+new AS (SELECT * FROM split WHERE NOT old QUALIFY row_number() OVER (PARTITION BY image_id, model ORDER BY created_at, seq) = 1)
+SELECT image_id, model, created_at, seq, n_damages FROM had
+UNION ALL SELECT image_id, model, created_at, seq, n_damages FROM new WHERE (image_id, model) NOT IN (SELECT image_id, model FROM had)""")
+def _(t):
+    old = F.col("created_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    rows = t.predictions
+    stored = store.upsert_predictions(rows.drop("failed").where(F.lit(False)), rows.where(old), force=True)
+    return store.upsert_predictions(stored, rows.where(~old))
+
+
+@query("t04_upsert_forced", """
+SELECT image_id, model, created_at, seq, n_damages FROM v_predictions WHERE NOT failed QUALIFY row_number() OVER (PARTITION BY image_id, model ORDER BY created_at DESC, seq DESC) = 1""")
+def _(t):
+    old = F.col("created_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    rows = t.predictions
+    stored = store.upsert_predictions(rows.drop("failed").where(F.lit(False)), rows.where(old), force=True)
+    return store.upsert_predictions(stored, rows.where(~old), force=True)
+
+
+@query("t05_annotation_log", """
+WITH ok AS (SELECT anno_id, min(seq) AS born FROM v_annotation_log WHERE op = 'create' AND label IN ('scratch', 'stone_chip', 'dent', 'crack', 'missing', 'major', 'other') GROUP BY anno_id),
+live AS (SELECT l.*, born FROM v_annotation_log l JOIN ok ON l.anno_id = ok.anno_id WHERE seq = born OR (seq > born AND op <> 'create'))
+SELECT anno_id, arg_min(image_id, seq) AS image_id, arg_min(source, seq) AS source, arg_max(x, seq) FILTER (WHERE x IS NOT NULL) AS x, arg_max(y, seq) FILTER (WHERE y IS NOT NULL) AS y,
+  arg_max(w, seq) FILTER (WHERE w IS NOT NULL) AS w, arg_max(h, seq) FILTER (WHERE h IS NOT NULL) AS h, arg_max(label, seq) FILTER (WHERE label IS NOT NULL) AS label,
+  arg_max(severity, seq) FILTER (WHERE severity IS NOT NULL) AS severity, min(ts) AS created_at,
+  max(ts) FILTER (WHERE coalesce(x, y, w, h) IS NOT NULL OR label IS NOT NULL OR severity IS NOT NULL) AS updated_at
+FROM live GROUP BY anno_id HAVING NOT bool_or(op = 'delete')""")
+def _(t):
+    return store.annotation_state(t.annotation_log)
+
+
+@query("t06_replace_test_cars", """
+WITH new AS (SELECT concat('M_', p_partkey) AS plate_safe, 1 AS is_test FROM part WHERE p_partkey % 9 <> 0)
+SELECT plate_safe, view, is_test FROM (SELECT plate AS plate_safe, view, 0 AS is_test FROM v_images WHERE plate NOT IN (SELECT plate_safe FROM new)
+UNION ALL SELECT plate_safe, concat('TEST_', substr(plate_safe, 3)) AS view, 1 FROM new) s""")
+def _(t):
+    """Test photos replace the images of the same key; the table gains ``is_test``."""
+    root = scratch_path(t.spark, "images")
+    fresh = store.cars_from_test_photos(brand_files(t))[1].select(
+        F.concat(F.lit("M_"), F.substring("view", 6, 20)).alias("plate_safe"), "view", F.lit(1).alias("is_test")
+    )
+    table = t.images.select(F.col("plate").alias("plate_safe"), "view")
+    sinks.replace_partitions(store.replace_keys(table, fresh, "plate_safe", {"is_test": F.lit(0)}), root, "is_test")
+    return t.spark.read.parquet(root)
+
+
+def stream_of(t: Tables, name: str) -> DataFrame:
+    """A stand-in over the event file, read as a stream."""
+    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parq*")
+    return t.sql(VIEWS[name], events=events)
+
+
+@query("t01_stream_session_totals", """
+SELECT session_id, count(*) AS n_attempts, count_if(attempt > 1) AS n_retries, count(error) AS n_errors, sum(bytes_sent)::BIGINT AS bytes_sent, sum(bytes_received)::BIGINT AS bytes_received,
+  sum(latency_ms)::BIGINT AS latency_ms, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM v_attempts GROUP BY session_id""")
+def _(t):
+    path = scratch_path(t.spark, "totals")
+    scans.run_session_totals(stream_of(t, "v_attempts"), path, scratch_path(t.spark, "totals-log"))
+    return scans.read_session_totals(t.spark, path)
+
+
+@query("t02_stream_latest_photo")
+def _(t):
+    photos = stream_of(t, "v_photo_events").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    with scans.rocksdb_state(t.spark):
+        return scans.drain(t.spark, scans.session_photos(photos), "sessions")
+
+
+@query("t03_stream_windows", """
+SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, captured_at, TIMESTAMP '2000-01-01') AS chunk_start, time_bucket(INTERVAL 6 HOUR, captured_at, TIMESTAMP '2000-01-01') + INTERVAL 6 HOUR AS chunk_end, count(*) AS n
+  FROM v_photo_events GROUP BY ALL) s WHERE chunk_end <= (SELECT max(captured_at) - INTERVAL 10 MINUTE FROM v_photo_events)""")
+def _(t):
+    rows = stream_of(t, "v_photo_events").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    return scans.drain(t.spark, scans.coverage_windows(rows, "captured_at"), "coverage")
