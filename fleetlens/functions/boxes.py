@@ -32,9 +32,18 @@ def iou(a: Column, b: Column) -> Column:
     return F.when((shared > 0) & (union > 0), shared / union).otherwise(0.0)
 
 
+def touches(a: Column, b: Column) -> Column:
+    """Do two boxes share any area? Stops at the first side that keeps them apart."""
+    return (a["ymin"] < b["ymax"]) & (b["ymin"] < a["ymax"]) & (a["xmin"] < b["xmax"]) & (b["xmin"] < a["xmax"])
+
+
+def with_centre(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumns({"cx": (F.col("xmin") + F.col("xmax")) / 2, "cy": (F.col("ymin") + F.col("ymax")) / 2})
+
+
 def centre_distance(a: Column, b: Column) -> Column:
-    dx = (a["xmin"] + a["xmax"]) / 2 - (b["xmin"] + b["xmax"]) / 2
-    dy = (a["ymin"] + a["ymax"]) / 2 - (b["ymin"] + b["ymax"]) / 2
+    """Distance of two structs with ``cx`` and ``cy``."""
+    dx, dy = a["cx"] - b["cx"], a["cy"] - b["cy"]
     return F.sqrt(dx * dx + dy * dy)
 
 

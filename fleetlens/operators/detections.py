@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import boxes as B
 from fleetlens.functions import scalars as S
 from fleetlens.operators.greedy import first_fit
+from fleetlens.session import cut_lineage
 
 
 def complete(detections: DataFrame) -> DataFrame:
@@ -18,17 +19,16 @@ def complete(detections: DataFrame) -> DataFrame:
 
 def suppress(detections: DataFrame, keys=("image_id",), iou: float = 0.4, max_group: int = 5000) -> DataFrame:
     """Greedy non-maximum suppression over all labels; a box goes if its IoU with a kept one is above ``iou``."""
-    grouped = first_fit(complete(detections), list(keys), lambda k, x: B.iou(k, x) > iou, max_group)
-    return grouped.where(F.col("leader_id") == F.col("det_id")).drop("leader_id")
+    covers = lambda k, x: B.touches(k, x) & (B.iou(k, x) > iou)
+    return first_fit(complete(detections), list(keys), covers, B.CORNERS, max_group, leaders_only=True).drop("leader_id")
 
 
 def assign_clusters(
     detections: DataFrame, keys=("image_id",), radius: float = 120.0, max_group: int = 5000
 ) -> DataFrame:
     """``leader_id``: the first box of the same label whose centre is nearer than ``radius``."""
-    return first_fit(
-        detections, [*keys, "label"], lambda k, x: B.centre_distance(k, x) < radius, max_group
-    )
+    covers = lambda k, x: B.centre_distance(k, x) < radius
+    return first_fit(B.with_centre(detections), [*keys, "label"], covers, ["cx", "cy"], max_group).drop("cx", "cy")
 
 
 def collapse_clusters(
@@ -40,7 +40,8 @@ def collapse_clusters(
     Adds severity, is_cluster and cluster_size; ``found_in`` is empty for a hull.
     """
     keys = list(keys)
-    rows = assign_clusters(detections, keys, radius, max_group)
+    # written once: both the hulls and the single boxes are taken from it
+    rows = cut_lineage(assign_clusters(detections, keys, radius, max_group))
     if "found_in" not in rows.columns:
         rows = rows.withColumn("found_in", F.lit(None).cast("string"))
     if "severity" not in rows.columns:
@@ -86,7 +87,8 @@ def merge_tiles(
     max_per_cluster: int = 5, radius: float = 120.0, collapse: bool = True,
 ) -> DataFrame:
     """Tile results to one list per image: rebase, suppress, collapse."""
-    kept = suppress(place_tiles(detections, images), keys, iou)
+    # written once: the cluster step looks at group sizes before it runs
+    kept = cut_lineage(suppress(place_tiles(detections, images), keys, iou))
     return collapse_clusters(kept, keys, max_per_cluster, radius) if collapse else kept
 
 
@@ -97,7 +99,7 @@ def merge_stats(
     """How many boxes each merge step left, and where the survivors come from."""
     keys = list(keys)
     placed = place_tiles(detections, images)
-    kept = suppress(placed, keys, iou)
+    kept = cut_lineage(suppress(placed, keys, iou))
     merged = collapse_clusters(kept, keys, max_per_cluster, radius)
     steps = (
         placed.select(*keys, F.lit("pre").alias("step"), "found_in", F.lit(False).alias("is_cluster"))
@@ -117,7 +119,7 @@ def merge_stats(
 
 def overlap_pairs(
     left: DataFrame, right: DataFrame, keys: list[str], min_iou: float, same: Column | None = None,
-    cell: float = 100.0,
+    cell: float = 200.0,
 ) -> DataFrame:
     """Box pairs of one group with IoU of at least ``min_iou`` (above 0).
 

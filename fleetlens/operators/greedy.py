@@ -16,17 +16,20 @@ from fleetlens.session import cut_lineage
 Covers = Callable[[Column, Column], Column]
 
 
-def _fold(rows: DataFrame, keys: list[str], covers: Covers) -> DataFrame:
+def _fold(rows: DataFrame, keys: list[str], covers: Covers, leaders_only: bool) -> DataFrame:
     """The rule over whole groups, as a fold on a sorted array."""
-    payload = [c for c in rows.columns if c not in keys]
     first = ["_rank", "det_id"]
-    item = F.struct(*first, *[c for c in payload if c not in first])
+    item = F.struct(*first, *[c for c in rows.columns if c not in [*keys, *first]])
     grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     none = F.slice("_items", 1, 0)
     leaders = F.aggregate(
         "_items", none,
         lambda kept, x: F.when(F.exists(kept, lambda k: covers(k, x)), kept).otherwise(F.concat(kept, F.array(x))),
     )
+    if leaders_only:
+        return grouped.select(*keys, F.explode(leaders).alias("_x")).select(
+            *keys, "_x.*", F.col("_x.det_id").alias("leader_id")
+        )
     return (
         grouped.withColumn("_leaders", leaders)
         .select(*keys, "_leaders", F.explode("_items").alias("_x"))
@@ -44,9 +47,12 @@ def _leader(leaders: Column, x: Column, covers: Covers) -> Column:
 
 
 def first_fit(
-    boxes: DataFrame, keys: list[str], covers: Covers, max_group: int = 5000, salts: int = 64
+    boxes: DataFrame, keys: list[str], covers: Covers, needs: list[str], max_group: int = 5000,
+    leaders_only: bool = False, salts: int = 64,
 ) -> DataFrame:
-    """Add ``leader_id`` to every row; a row leads when it equals its own ``det_id``.
+    """Add ``leader_id`` to every row, or return only the leaders; a leader's id is its own ``det_id``.
+
+    ``covers(leader, row)`` may use ``det_id`` and the columns ``needs`` of both.
 
     Order: confidence descending (missing counts as 0), then ``det_id``, which is unique in a group.
     Groups up to ``max_group`` rows are folded in one array. Larger ones are worked off in rounds: the
@@ -58,10 +64,10 @@ def first_fit(
     sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group)
     large = sizes.select(*keys)
     if large.isEmpty():
-        return _fold(ranked, keys, covers).drop("_rank")
+        return _fold(ranked, keys, covers, leaders_only).drop("_rank")
 
     large = cut_lineage(large)
-    done = [_fold(ranked.join(large, keys, "left_anti"), keys, covers)]
+    done = [_fold(ranked.join(large, keys, "left_anti"), keys, covers, leaders_only)]
     salt = F.pmod(F.xxhash64("det_id"), F.lit(salts)).cast("int")
     open_rows = cut_lineage(ranked.join(large, keys, "left_semi").withColumn("_salt", salt))
     columns = [c for c in open_rows.columns if c != "_salt"]
@@ -72,19 +78,20 @@ def first_fit(
             open_rows.select(*columns).withColumn("_rn", F.row_number().over(in_order))
             .where(F.col("_rn") <= max_group).drop("_rn")
         )
-        head = cut_lineage(_fold(head, keys, covers))
-        done.append(head)
+        head = cut_lineage(_fold(head, keys, covers, False))
+        done.append(head.where(F.col("leader_id") == F.col("det_id")) if leaders_only else head)
         per_group = head.groupBy(*keys).agg(
             F.sort_array(F.collect_list(F.when(
-                F.col("leader_id") == F.col("det_id"), F.struct("_rank", "det_id", "ymin", "xmin", "ymax", "xmax")
+                F.col("leader_id") == F.col("det_id"), F.struct("_rank", "det_id", *needs)
             ))).alias("_leaders"),
             F.max(F.struct("_rank", "det_id")).alias("_last"),
         ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         tail = open_rows.join(per_group, [*keys, "_salt"]).where(F.struct("_rank", "det_id") > F.col("_last"))
-        x = F.struct("ymin", "xmin", "ymax", "xmax")
+        x = F.struct(*needs)
         hit = F.get(F.filter("_leaders", lambda k: covers(k, x)), F.lit(0))["det_id"]
         judged = cut_lineage(tail.select(*columns, "_salt", hit.alias("leader_id")))
-        done.append(judged.where(F.col("leader_id").isNotNull()).drop("_salt"))
+        if not leaders_only:
+            done.append(judged.where(F.col("leader_id").isNotNull()).drop("_salt"))
         open_rows = judged.where(F.col("leader_id").isNull()).drop("leader_id")
     out = done[0]
     for part in done[1:]:

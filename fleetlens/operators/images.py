@@ -72,8 +72,8 @@ def _one(row) -> dict:
             **out, "width": row.width, "height": row.height, "aspect_ratio": round(row.width / row.height, 3),
             "sharpness": round(_laplacian_variance(gray), 1), "brightness": round(float(gray.mean()), 1),
             "contrast": round(float(gray.std()), 1), "saturation": round(float(_saturation(bgr).mean()), 1),
-            "overexp_pct": round(100.0 * float((gray > 240).mean()), 2),
-            "underexp_pct": round(100.0 * float((gray < 15).mean()), 2), "phash": _phash(gray),
+            "overexp_pct": round(float((gray > 240).mean()) * 100, 2),
+            "underexp_pct": round(float((gray < 15).mean()) * 100, 2), "phash": _phash(gray),
         }
     except Exception as problem:  # one bad image must not stop the job
         return {**out, "error": str(problem)[:200]}

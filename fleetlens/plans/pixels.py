@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import images as I
-from fleetlens.plans.registry import query
+from fleetlens.plans.registry import query, relation
 
 WIDTH = 16
 
@@ -28,7 +28,25 @@ def pictures(t) -> DataFrame:
     )
 
 
-@query("i01_image_metrics")
+# The same metrics from one row per byte; a gray picture has no saturation.
+relation("r_bytes", """
+SELECT doc_id, source, len, h, CAST(i // 16 AS INT) AS r, CAST(i % 16 AS INT) AS c,
+  CASE WHEN i < len THEN CAST(concat('0x', substr(digits, CAST(2 * i + 1 AS BIGINT), 2)) AS INT) ELSE 0 END AS v
+FROM (SELECT doc_id, source, digits, len, h, unnest(range(h * 16)) AS i FROM (
+  SELECT doc_id, source, hex(encode(text)) AS digits, strlen(text) AS len, CAST(ceil(strlen(text) / 16) AS BIGINT) AS h FROM documents WHERE doc_id % 13 <> 0) s) u""")
+relation("r_laplace", """
+SELECT *, coalesce(up, down, v) + coalesce(down, up, v) + coalesce(CASE WHEN c > 0 THEN prior END, next) + coalesce(CASE WHEN c < 15 THEN next END, prior) - 4 * v AS lap
+FROM (SELECT *, lag(v, 16) OVER w AS up, lead(v, 16) OVER w AS down, lag(v) OVER w AS prior, lead(v) OVER w AS next
+  FROM r_bytes WINDOW w AS (PARTITION BY doc_id ORDER BY r, c)) s""")
+
+
+@query("i01_image_metrics", """
+SELECT concat('file:/photos/', source, '/', doc_id, '_0.jpg') AS path, any_value(len) AS file_size, 16 AS width, any_value(h) AS height,
+  CAST(printf('%.3f', 16 / any_value(h)) AS DOUBLE) AS aspect_ratio, CAST(printf('%.1f', var_pop(lap)) AS DOUBLE) AS sharpness,
+  CAST(printf('%.1f', sum(v) / count(*)) AS DOUBLE) AS brightness, CAST(printf('%.1f', stddev_pop(v)) AS DOUBLE) AS contrast, 0 AS saturation,
+  CAST(printf('%.2f', count_if(v > 240) / count(*) * 100) AS DOUBLE) AS overexp_pct, CAST(printf('%.2f', count_if(v < 15) / count(*) * 100) AS DOUBLE) AS underexp_pct,
+  source AS plate, concat(doc_id, '_0.jpg') AS filename, 'exterior_legacy' AS view
+FROM r_laplace GROUP BY doc_id, source""")
 def _(t):
     return I.with_names(I.split_errors(I.image_metrics(pictures(t)))[0]).drop("phash", "error")
 

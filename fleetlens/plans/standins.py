@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+SPREAD = ["orders", "lineitem", "events", "documents"]
+
 VIEWS = {}
 
 VIEWS["v_images"] = """
@@ -157,9 +159,18 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A base table. One that is read in fewer tasks than there are cores is spread over all of them; a
+        large table has more scan tasks than cores and stays as it is."""
+        if name not in self._read:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            if name in SPREAD and df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores)
+            self._read[name] = df
+        return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
