@@ -96,7 +96,8 @@ def image_metrics(images: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = pd.DataFrame([_one(r) for r in batch.itertuples(index=False)], columns=columns)
-            yield rows.astype({"width": "Int32", "height": "Int32", "file_size": "Int64"})
+            text = dict.fromkeys(["path", "phash", "error"], object)
+            yield rows.astype({"width": "Int32", "height": "Int32", "file_size": "Int64", **text})
 
     return flat.mapInPandas(run, METRICS)
 
