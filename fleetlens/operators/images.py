@@ -19,9 +19,14 @@ HASH_SIDE = 16
 DCT_SIDE = 64
 
 
+# Blue, green and red weights of the 8-bit gray conversion, in units of 2^-15.
+GRAY_WEIGHTS = (3735, 19235, 9798)
+
+
 def _gray(bgr: np.ndarray) -> np.ndarray:
-    b, g, r = bgr[..., 0], bgr[..., 1], bgr[..., 2]
-    return np.rint(0.114 * b + 0.587 * g + 0.299 * r)
+    """Rounded 0.114 B + 0.587 G + 0.299 R, in whole numbers so that ties do not depend on float order."""
+    weighted = bgr.astype(np.int64) @ np.array(GRAY_WEIGHTS)
+    return ((weighted + (1 << 14)) >> 15).astype(float)
 
 
 def _laplacian_variance(gray: np.ndarray) -> float:
