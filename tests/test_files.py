@@ -40,7 +40,7 @@ def tree(tmp_path_factory):
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_bytes(png(pixels))
     shifted = smooth()
-    shifted[10, 10] = 200
+    shifted[10, 10] = np.minimum(shifted[10, 10] + 8, 255)  # one pixel, slightly
     (root / "B" / "near.jpg").write_bytes(png(shifted))
     (root / "B" / "broken.jpg").write_bytes(b"not an image")
     (root / "B" / "notes.txt").write_text("x")
