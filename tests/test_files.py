@@ -27,19 +27,19 @@ def picture(seed, h=40, w=50):
     return np.random.default_rng(seed).integers(0, 256, (h, w, 3))
 
 
-def smooth():
-    """A 64 x 96 picture of coarse blocks, so that its low frequencies stand clear of rounding."""
-    return np.kron(np.random.default_rng(9).integers(0, 256, (8, 12, 3)), np.ones((8, 8, 1), dtype=int))
+def scene():
+    """A 64 x 96 picture whose low frequencies are spread out, so that few of them lie at the median."""
+    return picture(9, 64, 96)
 
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("photos")
-    rgb = {"A_1/1_DIAGONAL_FRONT_LEFT_0.jpg": picture(1), "A_1/2_x_0.JPG": smooth(), "B/ab-3_0.jpeg": smooth()}
+    rgb = {"A_1/1_DIAGONAL_FRONT_LEFT_0.jpg": picture(1), "A_1/2_x_0.JPG": scene(), "B/ab-3_0.jpeg": scene()}
     for name, pixels in rgb.items():
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_bytes(png(pixels))
-    shifted = smooth()
+    shifted = scene()
     shifted[10, 10] = np.minimum(shifted[10, 10] + 8, 255)  # one pixel, slightly
     (root / "B" / "near.jpg").write_bytes(png(shifted))
     (root / "B" / "broken.jpg").write_bytes(b"not an image")
