@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import exact_dedup, mixing, sharding
+from fleetlens.llm import exact_dedup, line_dedup, mixing, sharding, simhash
 from fleetlens.llm.common import table
 
 
@@ -12,6 +13,15 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    stripped = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return stripped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -20,7 +30,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op3_exact_dedup, op8_mixing, op10_sharding]}
+QUERIES = {f.__name__: f for f in [op3_exact_dedup, op5_simhash, op6_line_dedup, op8_mixing, op10_sharding]}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -30,6 +40,17 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
   row_number() OVER w = 1 AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op6_line_dedup": r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM s),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (
+  SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT doc_id, count(*) AS n_lines, count_if(first_id IS NOT NULL AND doc_id <> first_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first_id IS NULL OR doc_id = first_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
     "op8_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
