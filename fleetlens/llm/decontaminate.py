@@ -5,11 +5,11 @@ unchanged. All pieces of a block of items are searched at once (Aho-Corasick), a
 verified by Myers' bit-parallel edit distance.
 """
 
-from __future__ import annotations
-
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,59 +70,72 @@ def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def searcher(block, chars_per_edit: int, short: int):
-    """id, text -> id, item_id, edits, end for every item of the block that the document holds."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Searcher:
+    """A block of items (item_id, text), ready to search texts."""
+
+    def __init__(self, block: list[tuple[int, str]], chars_per_edit: int, short: int):
         import ahocorasick
 
         items: dict[str, int] = {}  # equal items are one, by their smallest id
-        for item_id, text in block.value:
+        for item_id, text in block:
             if (item := normalised(text)) and (item not in items or item_id < items[item]):
                 items[item] = item_id
-        whole = {item: item_id for item, item_id in items.items() if len(item) < short}
-        known = [(item, item_id, len(item) // chars_per_edit, {}) for item, item_id in items.items() if len(item) >= short]
+        self.whole = {item: item_id for item, item_id in items.items() if len(item) < short}
+        self.known = [(item, item_id, len(item) // chars_per_edit, {}) for item, item_id in items.items() if len(item) >= short]
         found = defaultdict(list)
-        for n, (item, _, budget, _) in enumerate(known):
+        for n, (item, _, budget, _) in enumerate(self.known):
             for offset, piece in cut(item, budget):
                 found[piece].append((n, offset))
-        automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton() if found else None
         for piece, places in found.items():
-            automaton.add_word(piece, (len(piece), places))
+            self.automaton.add_word(piece, (len(piece), places))
         if found:
-            automaton.make_automaton()
+            self.automaton.make_automaton()
+
+    def near(self, doc: str) -> dict[int, list[tuple[int, int]]]:
+        """Per item, the windows of ``doc`` around its piece hits."""
+        near: dict[int, list[tuple[int, int]]] = {}
+        for end, (size, places) in self.automaton.iter(doc) if self.automaton and doc else ():
+            for n, offset in places:
+                item, _, budget, _ = self.known[n]
+                start = end + 1 - size - offset
+                window = max(0, start - budget), start + len(item) + budget
+                held = near.setdefault(n, [])
+                if held and held[-1][0] <= window[0] <= held[-1][1]:  # hits come by their end: mostly in order
+                    held[-1] = held[-1][0], max(held[-1][1], window[1])
+                else:
+                    held.append(window)
+        return near
+
+    def matches(self, text: str | None) -> Iterator[tuple[int, int, int]]:
+        """(item_id, edits, end) of each item that ``text`` holds."""
+        doc = normalised(text)
+        if doc in self.whole:
+            yield self.whole[doc], 0, len(doc)
+        for n, windows in self.near(doc).items():
+            item, item_id, budget, masks = self.known[n]
+            if (at := doc.find(item)) >= 0:
+                yield item_id, 0, at + len(item)
+                continue
+            if not masks:
+                masks.update(char_masks(item))
+            best = None
+            for a, b in merged(windows):
+                hit = occurrences(item, masks, doc[a:b], budget)
+                if hit and (best is None or hit[0] < best[0]):
+                    best = hit[0], a + hit[1]
+            if best:
+                yield item_id, *best
+
+
+def searcher(block, chars_per_edit: int, short: int):
+    """id, text -> id, item_id, edits, end for every item of the block that the document holds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Searcher(block.value, chars_per_edit, short)
         for batch in batches:
-            rows = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc = normalised(text.as_py())
-                if doc in whole:
-                    rows.append((id_, whole[doc], 0, len(doc)))
-                if not found or not doc:
-                    continue
-                near: dict[int, list[tuple[int, int]]] = {}
-                for end, (size, places) in automaton.iter(doc):
-                    for n, offset in places:
-                        item, _, budget, _ = known[n]
-                        start = end + 1 - size - offset
-                        window = max(0, start - budget), start + len(item) + budget
-                        held = near.setdefault(n, [])
-                        if held and held[-1][0] <= window[0] <= held[-1][1]:  # hits come by their end: mostly in order
-                            held[-1] = held[-1][0], max(held[-1][1], window[1])
-                        else:
-                            held.append(window)
-                for n, windows in near.items():
-                    item, item_id, budget, masks = known[n]
-                    best = None
-                    if (at := doc.find(item)) >= 0:
-                        best = 0, at + len(item)
-                    else:
-                        if not masks:
-                            masks.update(char_masks(item))
-                        for a, b in merged(windows):
-                            hit = occurrences(item, masks, doc[a:b], budget)
-                            if hit and (best is None or hit[0] < best[0]):
-                                best = hit[0], a + hit[1]
-                    if best:
-                        rows.append((id_, item_id, *best))
+            rows = [
+                (id_, *found) for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)) for found in search.matches(text.as_py())
+            ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], batch.schema.field(0).type), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]],
                 ["id", "item_id", "edits", "end"],
@@ -131,6 +144,16 @@ def searcher(block, chars_per_edit: int, short: int):
     return run
 
 
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcasts of (item_id, text) lists of about ``block_bytes``, equal texts once by their smallest id."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-total // block_bytes))
+    for b in range(n_blocks):
+        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).select("item_id", "text")
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.collect()])
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT,
     short: int = SHORT, block_bytes: int = BLOCK_BYTES,
@@ -141,24 +164,37 @@ def contaminated(
     m / ``chars_per_edit`` edits (insert, delete, replace one character); ``edits`` is the least, ``end`` where the first such
     occurrence ends in the normalised text. Items below ``short`` characters would be found anywhere and match only
     a document equal to them. Null or empty texts hold nothing; null or empty items are never held; of items with equal
-    text the smallest item_id is given, and items without id are left out. Repeated documents give a row each.
+    text the smallest item_id is given (items that differ in case or white space only may each be given, if they
+    fall into different blocks), and items without id are left out. Repeated documents give a row each.
     Empty tables give no rows. Other columns are not read.
 
-    ``benchmark`` (item_id, text) is taken in blocks of about ``block_bytes``, one pass over the documents each; one block
-    at a time is on the driver and in a broadcast. Documents are not shuffled.
+    ``benchmark`` (item_id, text) is taken in blocks of about ``block_bytes``, one pass over the documents each;
+    a block is collected and broadcast. Documents are not shuffled.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for b in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == b).select("item_id", "text")
-        block = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])  # about block_bytes
-        found = rows.mapInArrow(searcher(block, chars_per_edit, short), f"id {kind}, item_id long, edits long, end long")
-        out = found if out is None else out.unionByName(found)
-    if n_blocks > 1:  # spellings that only normalise to one text may lie in different blocks
-        out = out.distinct()
-    return out.withColumnRenamed("id", id_col)
+    found = [
+        rows.mapInArrow(searcher(block, chars_per_edit, short), f"id {kind}, item_id long, edits long, end long")
+        for block in blocks(benchmark, block_bytes)
+    ]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
+
+
+def clean_test(block, chars_per_edit: int, short: int):
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = Searcher(block.value, chars_per_edit, short)
+        for texts in parts:
+            yield pd.Series([next(search.matches(t), None) is None for t in texts], dtype=bool)
+
+    return clean
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT, short: int = SHORT,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` in which :func:`contaminated` finds no item, with all their columns; nothing is shuffled."""
+    for block in blocks(benchmark, block_bytes):
+        docs = docs.where(clean_test(block, chars_per_edit, short)(F.col(text_col).cast("string")))
+    return docs

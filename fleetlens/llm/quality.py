@@ -2,16 +2,15 @@
 
 Trusted positives and unlabelled text train a generalised additive model (each measure of a text falls into one of a
 few bins, each bin has a weight) by the non-negative risk: pi * R+(+) + max(0, Ru(-) - pi * R+(-)). The class
-prior pi is estimated from the two samples first, by the best bin: the least ratio of unlabelled to positive
-texts above a score of a plain positive-against-unlabelled model.
+prior pi is estimated first: as the share of positives among the labels, or, where only positives are labelled, by the
+best bin: the least ratio of unlabelled to positive texts above a score of a plain positive-against-unlabelled model.
 """
 
-from __future__ import annotations
-
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +19,8 @@ from fleetlens.llm.common import by_value
 
 by_value(__name__)
 
-SAMPLE = 20000  # positives, and unlabelled texts, to train on
-BINS = 10
+SAMPLE = 10000  # positives, and unlabelled texts, to train on
+MARKS = (0.01, 0.03, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.93, 0.95, 0.97, 0.99)  # quantiles that bound the bins
 MEASURES = 22
 
 
@@ -63,16 +62,16 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
         hot = np.zeros((len(x), len(e) + 1))
         hot[np.arange(len(x)), np.searchsorted(e, x[:, i], side="right")] = 1
         out.append(hot)
-    return np.concatenate(out, axis=1)
+    return np.concatenate(out, axis=1, dtype=np.float32)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def descend(gradient, size: int, rounds: int = 400, rate: float = 0.05) -> np.ndarray:
+def descend(gradient, size: int, rounds: int = 1500, rate: float = 0.05) -> np.ndarray:
     """Adam steps on ``gradient`` from zero."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    w, m, v = (np.zeros(size, np.float32) for _ in range(3))
     for t in range(1, rounds + 1):
         g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -108,7 +107,7 @@ def non_negative_model(p: np.ndarray, u: np.ndarray, prior: float, decay: float
 
 def train(p: np.ndarray, u: np.ndarray, prior: float | None = None) -> tuple[list[np.ndarray], np.ndarray, float]:
     """(bin edges, weights, prior) from measures of positives and of unlabelled texts."""
-    edges = [np.unique(np.quantile(u[:, i], np.arange(1, BINS) / BINS)) for i in range(u.shape[1])]
+    edges = [np.unique(np.append(np.quantile(u[:, i], MARKS), np.nextafter(u[:, i].min(), np.inf))) for i in range(u.shape[1])]
     hot_p, hot_u = binned(p, edges), binned(u, edges)
     if prior is None:  # fitted on one half, estimated on the other
         w = plain_model(hot_p[::2], hot_u[::2])
@@ -153,27 +152,45 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, size:
     return rows.where("positive OR unlabelled").mapInArrow(measured, "positive boolean, unlabelled boolean, x array<double>")
 
 
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE, prior: float | None = None):
+    """(bin edges, weights, prior), trained on the samples; a model that scores 0.5 throughout if either is empty."""
+    if prior is None:
+        share = labels.where("quality IS NOT NULL").where(~held_out(id_col)).agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]
+        prior = None if share in (None, 1.0) else min(max(share, 0.05), 0.98)
+    rows = sample(docs, labels, id_col, text_col, size).toArrow()
+    x = np.array(rows.column("x").to_pylist(), dtype=np.float64).reshape(-1, MEASURES)
+    is_p, is_u = (rows.column(c).to_numpy() for c in ("positive", "unlabelled"))
+    if is_p.any() and is_u.any():
+        return train(x[is_p], x[is_u], prior)
+    return [np.zeros(0)] * MEASURES, np.zeros(1 + MEASURES), 0.5
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE, prior: float | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     Only the text is measured. Rows whose crc32 of the id's text has remainder 1 modulo 3 are held out: neither their
-    labels nor their texts train. ``labels`` (id, quality) names the trusted positives by quality 1; other labels are
-    not used. ``size`` bounds both training samples, which the driver holds as numbers; if either is empty, every
+    labels nor their texts train. ``labels`` (id, quality) names the trusted positives by quality 1; other labels only
+    count for the class prior. ``size`` bounds both training samples, which the driver holds as numbers; if either is empty, every
     score is 0.5. Null and empty texts measure 0 throughout and are scored like any other; null ids count as the
     empty text; repeated rows get equal scores; empty input gives empty output; other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = sample(docs, labels, id_col, text_col, size).toArrow()
-    x = np.array(rows.column("x").to_pylist(), dtype=np.float64).reshape(-1, MEASURES)
-    is_p, is_u = (rows.column(c).to_numpy() for c in ("positive", "unlabelled"))
-    if is_p.any() and is_u.any():
-        model = train(x[is_p], x[is_u], prior)
-    else:
-        model = [np.zeros(0)] * MEASURES, np.zeros(1 + MEASURES), 0.5
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, size, prior))
     scored = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return scored.mapInArrow(
-        scorer(spark.sparkContext.broadcast(model)), f"id {kind}, held_out boolean, score double, predicted int"
+        scorer(model), f"id {kind}, held_out boolean, score double, predicted int"
     ).withColumnRenamed("id", id_col)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_scores` predicts as 1, with all their columns; nothing is shuffled."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, size))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        edges, weights, _ = model.value
+        return pd.Series(sigmoid(binned(np.array([measures(t) for t in texts]).reshape(-1, MEASURES), edges) @ weights))
+
+    return docs.where(score(F.col(text_col).cast("string")) >= 0.5)

@@ -327,3 +327,79 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, F.col("fp") == F.col("point")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# --- near duplicates by shingle similarity ---
+
+def similar_edges(members: DataFrame, similarity: float, leaders: int = 16) -> DataFrame:
+    """Links (u, v) of ``members`` (node, part, shingles: array of hashes) of one part whose shingle sets have at least
+    the given Jaccard similarity.
+
+    A part may be large, so its pairs are never listed. Each round compares the members still open with a few open
+    leaders of their part; members linked to one, and the leaders, are then done. Rounds go on until none is open,
+    so every member was compared with every leader up to the one that it joined.
+    """
+    found, turn = None, 0
+    while True:
+        slot = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(leaders))
+        chosen = members.groupBy("part", slot.alias("slot")).agg(F.min("node").alias("leader"))
+        heads = stored(chosen.join(members.select(F.col("node").alias("leader"), F.col("shingles").alias("other")), "leader").select(
+            F.col("part").alias("p"), "leader", "other"
+        ), "similar-heads")
+        both = F.size(F.array_intersect("shingles", "other"))
+        close = both >= similarity * (F.size("shingles") + F.size("other") - both)
+        edges = stored(members.join(heads, (F.col("part") == F.col("p")) & (F.col("node") != F.col("leader"))).where(close).select(
+            F.col("leader").alias("u"), F.col("node").alias("v")
+        ), "similar-edges")
+        found = edges if found is None else found.unionByName(edges)
+        done = edges.select(F.col("v").alias("d")).unionByName(heads.select(F.col("leader").alias("d"))).distinct()
+        members = stored(members.join(done, F.col("node") == F.col("d"), "left_anti"), "similar-open")
+        turn += 1
+        if members.isEmpty():
+            return found
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, tau: int = 7
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but one of each group of copies and near copies.
+
+    Texts with the same lower-cased words are copies. Candidates are texts whose SimHash over their different
+    words is within ``tau`` bits, directly or through others: word sets change less under small edits than
+    shingles do, so few bits find what is similar. They are near copies if their ``k``-word shingle sets (a
+    shorter text: its whole sequence) have Jaccard similarity of at least ``similarity``, and groups are what such
+    links connect. The smallest id of a group stays (null ids last); of rows that repeat its id and words, exactly one.
+    Null and empty texts are copies of each other. Empty input gives empty output.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    split = docs.select(F.col(id_col).alias("id"), words(ascii_lower(text)).alias("w"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    hashed = split.select("id", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), shingle_hashes(F.col("w"), 1, True).alias("hashes"))
+    rows = stored(hashed.select(F.struct("id", "node").alias("id"), "hashes").mapInArrow(
+        bit_majority, f"id struct<id:{kind},node:long>, fp long"
+    ).select("id.id", "id.node", "fp"), "similar-rows")
+    classes = stored(rows.groupBy("node", "fp").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("z"), "id")).alias("best")
+    ), "similar-classes")
+    points = stored(classes.select("fp").distinct(), "similar-points")
+    parts = components(close_links(points, tau)).select(F.col("node").alias("f"), F.col("component").alias("part"))
+    near = classes.join(parts, F.col("fp") == F.col("f"), "left").select("node", "best", F.coalesce("part", "fp").alias("part"))
+    crowded = near.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select(F.col("part").alias("q"))
+    wanted = stored(near.join(crowded, F.col("part") == F.col("q")).select("part", "best.id", F.col("node").alias("own")), "similar-wanted")
+    texts = docs.select(F.col(id_col).alias("t_id"), words(ascii_lower(text)).alias("w"))
+    found = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("id"))).select("part", "own", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), "w")
+    members = stored(found.where("node = own").dropDuplicates(["node"]).select(
+        "node", "part", shingle_hashes(F.col("w"), k, True).alias("shingles")
+    ), "similar-members")
+    groups = components(similar_edges(members, similarity)).select(F.col("node").alias("g"), "component")
+    labelled = stored(classes.join(groups, F.col("node") == F.col("g"), "left").select("node", "best", F.coalesce("component", "node").alias("component")), "similar-groups")
+    stays = labelled.groupBy("component").agg(F.min(F.struct("best.z", "best.id", "node")).alias("s")).select(
+        F.col("s.id").alias("_stay_id"), F.col("s.node").alias("_stay_node")
+    )
+    node = F.xxhash64(F.concat_ws(" ", words(ascii_lower(text))))
+    kept = docs.withColumn("_node", node).join(
+        stored(stays, "similar-stays"), F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_node") == F.col("_stay_node")), "left_semi"
+    )
+    if rows.groupBy("id", "node").count().where("count > 1").isEmpty():
+        return kept.drop("_node")
+    return kept.dropDuplicates([id_col, "_node"]).drop("_node")
