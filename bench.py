@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from fleetlens.plans import registry
@@ -29,6 +30,7 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="12g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"), spark__cleaner__referenceTracking__cleanCheckpoints="true",
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = registry.queries()

@@ -3,6 +3,9 @@ image_id, det_id, label, confidence, ymin, xmin, ymax, xmax (+ any other columns
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,8 @@ def collapse_clusters(
 ) -> DataFrame:
     """Replace every cluster of more than ``max_per_cluster`` boxes by its hull with low confidence.
 
-    Adds severity, is_cluster and cluster_size; ``found_in`` is empty for a hull.
+    Boxes without a label are one label. Adds severity, is_cluster and cluster_size; boxes that stay keep all
+    other columns, which are empty for a hull, as is ``found_in``.
     """
     keys = list(keys)
     # written once: both the hulls and the single boxes are taken from it
@@ -58,16 +62,17 @@ def collapse_clusters(
         )
         .where(F.col("cluster_size") > max_per_cluster)
     )
-    single = rows.join(hulls.select(*group), group, "left_anti").select(
-        *keys, "label", F.col("det_id"), *B.CORNERS, "confidence", "severity", "found_in",
-        F.lit(False).alias("is_cluster"), F.lit(0).cast("long").alias("cluster_size"),
+    gone = hulls.select(*[F.col(c).alias("_" + c) for c in group])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col("_" + c)) for c in group])
+    single = rows.join(gone, same, "left_anti").drop("leader_id").withColumns(
+        {"is_cluster": F.lit(False), "cluster_size": F.lit(0).cast("long")}
     )
     merged = hulls.select(
         *keys, "label", F.col("leader_id").alias("det_id"), *B.CORNERS, "confidence",
         F.lit("uncertain").alias("severity"), F.lit(None).cast("string").alias("found_in"),
         F.lit(True).alias("is_cluster"), "cluster_size",
     )
-    return single.unionByName(merged)
+    return single.unionByName(merged, allowMissingColumns=True)
 
 
 def place_tiles(detections: DataFrame, images: DataFrame, grid: int = 3, overlap: float = 0.10) -> DataFrame:
@@ -150,16 +155,18 @@ def overlap_pairs(
     return joined.where(cond).withColumn("iou", B.iou(a, b)).drop("_cy", "_cx")
 
 
-def detections_per_model(detections: DataFrame) -> DataFrame:
-    """Boxes, and images with at least one, per model."""
-    return detections.groupBy("model").agg(
+def detections_per_model(detections: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Boxes, and images with at least one, per model with a stored prediction or a box; 0 where it found nothing."""
+    models = predictions.select("model").distinct().unionByName(detections.select("model").distinct()).distinct()
+    found = detections.groupBy("model").agg(
         F.count("*").alias("n_detections"), F.countDistinct("image_id").alias("n_images_with_detections")
     )
+    return models.join(found, "model", "left").fillna(0, ["n_detections", "n_images_with_detections"])
 
 
 def label_summary(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """``n× label · ...`` per group, most frequent first, then by name. One entry per label of the vocabulary."""
-    counted = rows.groupBy(*keys, S.known_label(F.col(label)).alias("_label")).agg(F.count("*").alias("_n"))
+    """``n× label · ...`` per group, most frequent first, then by name. Labels count as they come, a missing one as ``?``."""
+    counted = rows.groupBy(*keys, F.coalesce(F.col(label), F.lit("?")).alias("_label")).agg(F.count("*").alias("_n"))
     entries = F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("o"), F.col("_label").alias("l"))))
     return counted.groupBy(*keys).agg(
         F.array_join(

@@ -42,22 +42,30 @@ def match_detections(predicted: DataFrame, gold: DataFrame, iou: float = 0.5) ->
     return out.select("image_id", "model", "label", "det_id", "gold_id", "iou")
 
 
+def model_labels(predicted: DataFrame, n_gold: DataFrame) -> DataFrame:
+    """Every model with every gold label: (model, label, n_gold). Models and labels are short lists."""
+    models = predicted.agg(F.collect_set("model").alias("_models"))
+    return n_gold.crossJoin(F.broadcast(models)).select(F.explode("_models").alias("model"), "label", "n_gold")  # one row
+
+
 def precision_recall(matches: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """TP, FP, FN, precision and recall per model and label; every model is held against all gold boxes."""
+    """TP, FP, FN, precision and recall per model and label; every model is held against all gold boxes, also of
+    labels it never predicts (precision is null there)."""
     n_pred = complete(predicted).groupBy("model", "label").agg(F.count("*").alias("n_pred"))
     n_gold = complete(gold).groupBy("label").agg(F.count("*").alias("n_gold"))
     tp = matches.groupBy("model", "label").agg(F.count("*").alias("tp"))
-    rows = n_pred.join(tp, ["model", "label"], "left").join(n_gold, "label", "left")
-    rows = rows.withColumns({"tp": F.coalesce("tp", F.lit(0)), "n_gold": F.coalesce("n_gold", F.lit(0))})
+    rows = model_labels(predicted, n_gold).join(n_pred, ["model", "label"], "full").join(tp, ["model", "label"], "left")
+    rows = rows.fillna(0, ["tp", "n_gold", "n_pred"])
     return rows.select(
         "model", "label", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"),
-        F.round(F.col("tp") / F.col("n_pred"), 9).alias("precision"),
+        F.round(F.try_divide(F.col("tp"), F.col("n_pred")), 9).alias("precision"),
         F.round(F.try_divide(F.col("tp"), F.col("n_gold")), 9).alias("recall"),
     )
 
 
 def average_precision(matches: DataFrame, predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Interpolated average precision per model and label over the distinct confidences."""
+    """Interpolated average precision per model and gold label over the distinct confidences; 0 for a label that the
+    model never predicts."""
     rows = complete(predicted).select("model", "label", "image_id", "det_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     hit = matches.select("image_id", "model", "det_id", F.lit(1).alias("_tp"))
     steps = rows.join(hit, ["image_id", "model", "det_id"], "left").groupBy("model", "label", "confidence").agg(
@@ -68,8 +76,8 @@ def average_precision(matches: DataFrame, predicted: DataFrame, gold: DataFrame)
     ran = ran.withColumn("p", F.col("cum_tp") / F.col("cum_n"))
     best = stats.with_running(ran, group, [F.col("confidence").asc()], {"p_max": ("max", "p")})
     n_gold = complete(gold).groupBy("label").agg(F.count("*").alias("n_gold"))
-    return best.join(n_gold, "label").groupBy(*group).agg(
-        F.round(F.sum(F.col("tp") / F.col("n_gold") * F.col("p_max")), 9).alias("ap50")
+    return model_labels(predicted, n_gold).join(best, group, "left").groupBy(*group).agg(
+        F.round(F.coalesce(F.sum(F.col("tp") / F.col("n_gold") * F.col("p_max")), F.lit(0.0)), 9).alias("ap50")
     )
 
 
@@ -104,14 +112,18 @@ def cohen_kappa(ratings: DataFrame) -> DataFrame:
 
 
 def model_agreement(detections: DataFrame, iou: float = 0.5) -> DataFrame:
-    """For every ordered pair of models: the share of the first one's boxes that the second one overlaps."""
+    """For every ordered pair of models: the share of the first one's boxes that the second one overlaps; 0 if none."""
     rows = complete(detections).select("image_id", "model", "det_id", *BOX)
     pairs = overlap_pairs(rows, rows, ["image_id"], iou, F.col("model") != F.col("other_model"))
     met = pairs.select("image_id", "model", "det_id", "other_model").distinct().groupBy("model", "other_model").agg(
         F.count("*").alias("n_met")
     )
     size = rows.groupBy("model").agg(F.count("*").alias("n_boxes"))
-    return met.join(size, "model").withColumn("rate", F.round(F.col("n_met") / F.col("n_boxes"), 9))
+    others = size.agg(F.collect_set("model").alias("_others"))
+    pairs_of = size.crossJoin(F.broadcast(others)).select("model", "n_boxes", F.explode("_others").alias("other_model"))  # one row
+    return pairs_of.where("model <> other_model").join(met, ["model", "other_model"], "left").fillna(0, ["n_met"]).select(
+        "model", "other_model", "n_met", "n_boxes", F.round(F.col("n_met") / F.col("n_boxes"), 9).alias("rate")
+    )
 
 
 def view_false_positives(matches: DataFrame, predicted: DataFrame, images: DataFrame) -> DataFrame:
@@ -121,7 +133,7 @@ def view_false_positives(matches: DataFrame, predicted: DataFrame, images: DataF
     return rows.join(images.select("image_id", "view"), "image_id").groupBy("view").agg(
         F.count("*").alias("n_pred"), F.count_if(F.col("_tp").isNull()).alias("n_fp"),
         F.round(F.count_if(F.col("_tp").isNull()) / F.count("*"), 9).alias("fp_rate"),
-        F.round(F.count_if(F.col("tile_idx") > 0) / F.count("*"), 9).alias("tile_rate"),
+        F.round(F.count_if(F.col("tile_idx") >= 0) / F.count("*"), 9).alias("tile_rate"),
     )
 
 

@@ -82,9 +82,10 @@ def _(t):
 
 
 @query("a10_detections_per_model", """
-SELECT model, count(*) AS n_detections, count(DISTINCT image_id) AS n_images_with_detections FROM v_detections GROUP BY model""")
+SELECT model, count(det_id) AS n_detections, count(DISTINCT d.image_id) AS n_images_with_detections
+FROM (SELECT model FROM v_predictions UNION SELECT model FROM v_detections) m LEFT JOIN v_detections d USING (model) GROUP BY model""")
 def _(t):
-    return DET.detections_per_model(t.detections)
+    return DET.detections_per_model(t.detections, t.predictions)
 
 
 @query("a11_label_summary", f"""

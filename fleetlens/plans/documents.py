@@ -51,21 +51,24 @@ def _(t):
 @query("d02_precision_recall", """
 WITH n AS (SELECT model, label, count(*) AS n_pred FROM r_pred GROUP BY ALL), g AS (SELECT label, count(*) AS n_gold FROM v_detections WHERE source = 'human' GROUP BY ALL),
 m AS (SELECT model, label, count(*) AS tp FROM r_matches GROUP BY ALL)
-SELECT n.model, n.label, coalesce(tp, 0) AS tp, n_pred - coalesce(tp, 0) AS fp, n_gold - coalesce(tp, 0) AS fn,
-  round(coalesce(tp, 0) / n_pred, 9) AS precision, round(coalesce(tp, 0) / n_gold, 9) AS recall
-FROM n LEFT JOIN m ON n.model = m.model AND n.label = m.label LEFT JOIN g ON n.label = g.label""")
+SELECT a.model, a.label, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_gold, 0) - coalesce(tp, 0) AS fn,
+  round(coalesce(tp, 0) / nullif(coalesce(n_pred, 0), 0), 9) AS precision, round(coalesce(tp, 0) / n_gold, 9) AS recall
+FROM (SELECT x.model, g.label FROM (SELECT DISTINCT model FROM n) x, g UNION SELECT model, label FROM n) a
+LEFT JOIN n USING (model, label) LEFT JOIN m USING (model, label) LEFT JOIN g USING (label)""")
 def _(t):
     return E.precision_recall(matches(t), predicted(t), gold(t))
 
 
 relation("r_ap", """
-SELECT model, label, round(sum(tp / n_gold * p_max), 9) AS ap50 FROM (
+SELECT x.model, g.gl AS label, round(coalesce(sum(tp / n_gold * p_max), 0), 9) AS ap50
+FROM (SELECT DISTINCT model FROM r_pred) x CROSS JOIN (SELECT label AS gl, count(*) AS n_gold FROM v_detections WHERE source = 'human' GROUP BY ALL) g
+LEFT JOIN (
   SELECT *, max(p) OVER (PARTITION BY model, label ORDER BY confidence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_max FROM (
     SELECT *, sum(tp) OVER w / sum(n) OVER w AS p FROM (
       SELECT r.model, r.label, coalesce(r.confidence, 0) AS confidence, count(m.det_id) AS tp, count(*) AS n
       FROM r_pred r LEFT JOIN r_matches m ON r.image_id = m.image_id AND r.model = m.model AND r.det_id = m.det_id GROUP BY ALL) s
     WINDOW w AS (PARTITION BY model, label ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) q) z
-JOIN (SELECT label AS gl, count(*) AS n_gold FROM v_detections WHERE source = 'human' GROUP BY ALL) g ON label = gl GROUP BY model, label""")
+ON label = gl AND z.model = x.model GROUP BY x.model, g.gl""")
 
 
 @query("d03_average_precision", "SELECT * FROM r_ap")
@@ -92,11 +95,12 @@ def _(t):
 
 
 @query("d06_model_agreement", f"""
-SELECT m.model, other_model, n_met, n_boxes, round(n_met / n_boxes, 9) AS rate FROM (
+SELECT n.model, o.model AS other_model, coalesce(n_met, 0) AS n_met, n_boxes, round(coalesce(n_met, 0) / n_boxes, 9) AS rate
+FROM (SELECT model, count(*) AS n_boxes FROM v_detections GROUP BY ALL) n JOIN (SELECT DISTINCT model FROM v_detections) o ON n.model <> o.model LEFT JOIN (
   SELECT model, other_model, count(*) AS n_met FROM (
     SELECT DISTINCT a.image_id, a.det_id, a.model, b.model AS other_model
     FROM v_detections a JOIN v_detections b ON a.image_id = b.image_id AND a.model <> b.model WHERE {IOU_SQL} >= 0.5) s GROUP BY ALL) m
-JOIN (SELECT model, count(*) AS n_boxes FROM v_detections GROUP BY ALL) n ON m.model = n.model""")
+ON m.model = n.model AND m.other_model = o.model""")
 def _(t):
     return E.model_agreement(t.detections)
 
@@ -168,7 +172,7 @@ def _(t):
 
 
 @query("d14_view_false_positive_rate", """
-SELECT view, count(*) AS n_pred, count_if(m.det_id IS NULL) AS n_fp, round(count_if(m.det_id IS NULL) / count(*), 9) AS fp_rate, round(count_if(tile_idx > 0) / count(*), 9) AS tile_rate
+SELECT view, count(*) AS n_pred, count_if(m.det_id IS NULL) AS n_fp, round(count_if(m.det_id IS NULL) / count(*), 9) AS fp_rate, round(count_if(tile_idx >= 0) / count(*), 9) AS tile_rate
 FROM r_pred r JOIN v_images i ON r.image_id = i.image_id LEFT JOIN r_matches m ON r.image_id = m.image_id AND r.model = m.model AND r.det_id = m.det_id GROUP BY view""")
 def _(t):
     return E.view_false_positives(matches(t), predicted(t), t.images)

@@ -148,13 +148,14 @@ def _(t):
 
 
 @query("p15_parse_response", """
-SELECT image_id, tile_idx, det_id, det_id % 5 <> 4 AS parsed_ok, CASE WHEN det_id % 5 IN (0, 1, 3) THEN 1 ELSE 0 END AS n_detections,
+SELECT image_id, tile_idx, det_id, det_id % 5 <> 4 AS parsed_ok,
+  CASE WHEN det_id % 5 = 4 THEN CASE WHEN det_id % 4 = 3 THEN 'empty_response' ELSE 'parse_error' END END AS error, CASE WHEN det_id % 5 IN (0, 1, 3) THEN 1 ELSE 0 END AS n_detections,
   CASE WHEN det_id % 5 IN (0, 1, 3) THEN label END AS label, CASE WHEN det_id % 5 = 0 THEN CAST(0.5 AS DOUBLE) END AS confidence,
   CASE WHEN det_id % 5 IN (0, 1, 3) THEN box_text END AS box FROM v_responses""")
 def _(t):
     d = F.get("detections", F.lit(0))
     return readers.parse_responses(t.responses).select(
-        "image_id", "tile_idx", "det_id", "parsed_ok", F.size("detections").alias("n_detections"), d["label"].alias("label"),
+        "image_id", "tile_idx", "det_id", "parsed_ok", "error", F.size("detections").alias("n_detections"), d["label"].alias("label"),
         d["confidence"].alias("confidence"),
         F.array_join(F.transform(d["bbox_2d"], lambda v: v.cast("bigint").cast("string")), ",").alias("box"),
     )

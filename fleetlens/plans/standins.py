@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
         "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-SPREAD = ["lineitem", "documents"]  # wide rows with costly expressions
-
 VIEWS = {}
 
 VIEWS["v_images"] = """
@@ -86,7 +84,7 @@ SELECT image_id, tile_idx, det_id, CASE det_id % 5
   WHEN 1 THEN concat('Result: {"visible_damages":[{"bbox_2d":[', b, '],"label":"', label, '"}]} done')
   WHEN 2 THEN '{"panels_scanned":["hood"],"damages":[]}'
   WHEN 3 THEN concat('{"damages":[{"bbox_2d":[1,2,3],"label":"', label, '"},{"bbox_2d":[', b, '],"label":"', label, '"}]}')
-  ELSE 'no json here' END AS raw,
+  ELSE CASE det_id % 4 WHEN 0 THEN 'no json here' WHEN 1 THEN '{"damages": [' WHEN 2 THEN '{note: x} and {"damages": 1' ELSE ' ' END END AS raw,
   b AS box_text, label
 FROM (SELECT image_id, tile_idx, det_id, label, concat(CAST(CAST(ymin AS BIGINT) AS STRING), ',', CAST(CAST(xmin AS BIGINT) AS STRING), ',', CAST(CAST(ymax AS BIGINT) AS STRING), ',', CAST(CAST(xmax AS BIGINT) AS STRING)) AS b
   FROM v_detections) t
@@ -162,14 +160,9 @@ class Tables:
         self._read: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        """A base table. One that is read in fewer tasks than there are cores is spread over all of them; a
-        large table has more scan tasks than cores and stays as it is."""
+        """A base table."""
         if name not in self._read:
-            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            cores = self.spark.sparkContext.defaultParallelism
-            if name in SPREAD and df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores)
-            self._read[name] = df
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -76,11 +76,17 @@ def _(t):
     return scans.read_session_totals(t.spark, path)
 
 
-@query("t02_stream_latest_photo")
+@query("t02_stream_latest_photo", """
+WITH e AS (SELECT *, coalesce(captured_at - lag(captured_at) OVER (PARTITION BY session_id ORDER BY captured_at) > INTERVAL 30 MINUTE, false) AS cut FROM v_photo_events),
+g AS (SELECT *, count_if(cut) OVER (PARTITION BY session_id ORDER BY captured_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM e),
+v AS (SELECT session_id, part, view_idx, count(*) AS n, max(captured_at) AS last_at, arg_max(removed, (captured_at, seq)) AS gone,
+  arg_max(n_damages, (captured_at, seq)) AS found FROM g GROUP BY ALL),
+s AS (SELECT session_id, count_if(NOT gone) AS n_views, sum(n)::BIGINT AS n_photos, sum(n - 1)::BIGINT AS n_retakes, count_if(gone) AS n_removed,
+  coalesce(sum(found) FILTER (WHERE NOT gone), 0)::BIGINT AS n_damages, max(last_at) + INTERVAL 30 MINUTE AS closed_at FROM v GROUP BY session_id, part)
+SELECT * FROM s WHERE closed_at <= (SELECT max(captured_at) - INTERVAL 10 MINUTE FROM v_photo_events)""")
 def _(t):
     photos = stream_of(t, "v_photo_events").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    with scans.rocksdb_state(t.spark):
-        return scans.drain(t.spark, scans.session_photos(photos), "sessions")
+    return scans.drain(t.spark, scans.session_photos(photos), "sessions")
 
 
 @query("t03_stream_windows", """

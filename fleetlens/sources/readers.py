@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas
+from fleetlens.functions import boxes as B
 from fleetlens.functions import scalars as S
 
 
@@ -228,14 +229,17 @@ def chunk_coverage(rows: DataFrame, ts: str, hours: int = 6) -> DataFrame:
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Detections of raw model answers in ``raw``.
 
-    Code fences are stripped, then the whole text or its outermost braces are read as JSON; ``damages`` is
-    used unless empty, else ``visible_damages``. Adds ``parsed_ok``, ``detections`` (complete boxes only).
+    Code fences are stripped, then the whole text or its outermost braces are read as JSON, strictly; ``damages``
+    is used unless empty, else ``visible_damages``. Adds ``parsed_ok``, ``error`` (``empty_response``, ``parse_error`` or
+    null) and ``detections`` (complete boxes only).
     """
     bare = F.trim(F.regexp_replace(F.trim("raw"), r"(?m)^```(?:json)?\s*|\s*```\s*$", ""))
     inner = F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)
-    parsed = F.from_json(F.when(bare.startswith("{"), bare).otherwise(F.when(inner != "", inner)), schemas.RESPONSE)
-    again = F.from_json(F.when(inner != "", inner), schemas.RESPONSE)
-    rows = responses.withColumn("_p", F.coalesce(parsed, again))
+    # from_json reads malformed text as a struct of nulls, so what is read must parse as an object first
+    strict = lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x)
+    rows = responses.withColumn("_t", F.coalesce(strict(bare), strict(inner))).withColumn("_p", F.from_json("_t", schemas.RESPONSE))
     some = F.when(F.size("_p.damages") > 0, F.col("_p.damages")).otherwise(F.col("_p.visible_damages"))
-    kept = F.filter(F.coalesce(some, F.array()), lambda d: F.coalesce(F.size(d["bbox_2d"]) == 4, F.lit(False)))
-    return rows.withColumn("parsed_ok", F.col("_p").isNotNull()).withColumn("detections", kept).drop("_p")
+    error = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "empty_response").when(F.col("_t").isNull(), "parse_error")
+    return rows.withColumn("parsed_ok", F.col("_t").isNotNull()).withColumn("error", error).withColumn(
+        "detections", B.valid_boxes(F.coalesce(some, F.array()))
+    ).drop("_p", "_t")

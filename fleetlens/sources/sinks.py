@@ -72,13 +72,13 @@ def store_tables(cars: DataFrame, images: DataFrame, register: DataFrame) -> dic
 
 
 def build_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> list[str]:
-    """Write the tables that are not there yet; returns the names written."""
+    """Write the tables that are not complete yet (a failed write leaves no _SUCCESS); returns the names written."""
     written = []
     for name, table in tables.items():
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")
         fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(target):
-            table.write.parquet(f"{root}/{name}")
+            table.write.mode("overwrite").parquet(f"{root}/{name}")
             written.append(name)
     return written
 

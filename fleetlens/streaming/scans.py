@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fleetlens.session import scratch_path
 
@@ -64,93 +59,26 @@ def drain(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-SESSION_OUTPUT = (
-    "session_id bigint, n_views bigint, n_photos bigint, n_retakes bigint, n_removed bigint, n_late bigint, "
-    "n_damages bigint, closed_at timestamp"
-)
-
-
-class SessionState(StatefulProcessor):
-    """Current photo per view of one session, closed after ``idle_ms`` without a newer photo.
-
-    State is one small entry per view, so a long session does not grow. Photos behind the watermark of
-    the session's close are counted as late and dropped.
-    """
-
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.photos = handle.getMapState("photos", "view_idx int", "captured_ms bigint, seq bigint, removed boolean, n_damages bigint")
-        self.counts = handle.getValueState("counts", "n_photos bigint, n_retakes bigint, n_late bigint, last_ms bigint, closed_ms bigint, timer_ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n_photos, n_retakes, n_late, last, closed, timer = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0, 0)
-        current: dict = {}
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                if closed and r.captured_ms <= closed:
-                    n_late += 1
-                    continue
-                n_photos += 1
-                view = (int(r.view_idx),)
-                old = current.get(view) or (self.photos.getValue(view) if self.photos.containsKey(view) else None)
-                if old is not None:
-                    n_retakes += 1
-                if old is None or (r.captured_ms, r.seq) >= (old[0], old[1]):
-                    current[view] = (int(r.captured_ms), int(r.seq), bool(r.removed), int(r.n_damages))
-                last = max(last, int(r.captured_ms))
-        for view, photo in current.items():
-            self.photos.updateValue(view, photo)
-        if last and last + self.idle_ms != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            timer = last + self.idle_ms
-            self.handle.registerTimer(timer)
-        self.counts.update((n_photos, n_retakes, n_late, last, closed, timer))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n_photos, n_retakes, n_late, last, _, _ = self.counts.get()
-        kept = [p for _, p in self.photos.iterator()]
-        live = [p for p in kept if not p[2]]
-        self.photos.clear()
-        self.counts.update((0, 0, 0, 0, last, 0))
-        yield pd.DataFrame({
-            "session_id": [key[0]], "n_views": [len(live)], "n_photos": [n_photos], "n_retakes": [n_retakes],
-            "n_removed": [len(kept) - len(live)], "n_late": [n_late], "n_damages": [sum(p[3] for p in live)],
-            "closed_at": [pd.Timestamp(last + self.idle_ms, unit="ms")],
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def session_photos(photos: DataFrame, idle_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
+def session_photos(photos: DataFrame, idle_minutes: int = 30, delay: str = "10 minutes", n_views: int = 12) -> DataFrame:
     """Photo events (session_id, view_idx, captured_at, seq, removed, n_damages) to one row per closed session.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    A session of one session_id ends when no photo follows for ``idle_minutes``; it comes out once the watermark has
+    passed that end, and photos that arrive later still are dropped (the query's progress counts them). Of each view
+    0 ... ``n_views`` - 1 the newest photo counts; earlier ones are retakes. The same expression serves batch and stream.
     """
-    rows = photos.withColumn("captured_ms", F.unix_millis("captured_at")).withWatermark("captured_at", delay)
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        SessionState(idle_minutes * 60 * 1000), SESSION_OUTPUT, "Append", "EventTime"
+    taken_at = F.struct("captured_at", "seq")
+    newest = [
+        F.max_by(F.struct("removed", "n_damages"), F.when(F.col("view_idx") == v, taken_at)).alias(f"_v{v}") for v in range(n_views)
+    ]
+    known = photos.where(F.col("view_idx").between(0, n_views - 1)).withWatermark("captured_at", delay)
+    closed = known.groupBy("session_id", F.session_window("captured_at", f"{idle_minutes} minutes").alias("w")).agg(
+        F.count("*").alias("n_photos"), *newest
+    )
+    current = F.filter(F.array(*[f"_v{v}" for v in range(n_views)]), lambda p: p.isNotNull())
+    live = F.filter(current, lambda p: ~p["removed"])
+    return closed.select(
+        "session_id", F.size(live).cast("long").alias("n_views"), "n_photos", (F.col("n_photos") - F.size(current)).alias("n_retakes"),
+        (F.size(current) - F.size(live)).cast("long").alias("n_removed"),
+        F.aggregate(live, F.lit(0).cast("long"), lambda total, p: total + p["n_damages"]).alias("n_damages"),
+        F.col("w.end").alias("closed_at"),
     )
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Use the RocksDB state store for the queries started inside."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)

@@ -136,8 +136,29 @@ def test_model_answers(spark):
     texts = [fence, "so: {\"damages\": [{\"bbox_2d\": [1, 2, 3]}]} end", "{\"damages\": [", "", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string")
     got = {r.i: (r.parsed_ok, len(r.detections)) for r in readers.parse_responses(rows).collect()}
-    assert got[0] == (True, 1) and got[1] == (True, 0) and got[3] == (False, 0) and got[4] == (False, 0)
-    assert got[2][1] == 0
+    assert got == {0: (True, 1), 1: (True, 0), 2: (False, 0), 3: (False, 0), 4: (False, 0)}
+    broken = ["{note: x}", "{broken} then {", "{\"damages\": [{\"bbox_2d\": [1, 2, null, 4]}]}", "[1]", " "]
+    rows = readers.parse_responses(spark.createDataFrame(list(enumerate(broken)), "i int, raw string"))
+    got = {r.i: (r.parsed_ok, r.error, len(r.detections)) for r in rows.collect()}
+    wrong = (False, "parse_error", 0)
+    assert got == {0: wrong, 1: wrong, 2: (True, None, 0), 3: wrong, 4: (False, "empty_response", 0)}
+
+
+def test_session_gaps(spark, tmp_path):
+    """A gap closes a session, however its photos are cut into batches."""
+    schema = "session_id bigint, view_idx int, captured_at timestamp, seq bigint, removed boolean, n_damages bigint"
+    times = [0, 60, 20000, 20010, 90000]
+    rows = [(1, i % 2, s, i, False, 1) for i, s in enumerate(times)]
+    for cuts in ([5], [2, 3], [1, 1, 1, 1, 1]):
+        source, at = tmp_path / f"in{len(cuts)}", 0
+        for i, n in enumerate(cuts):
+            part = spark.createDataFrame(rows[at:at + n], "session_id bigint, view_idx int, sec int, seq bigint, removed boolean, n_damages bigint")
+            part.select("session_id", "view_idx", F.timestamp_seconds(F.col("sec") + 100000).alias("captured_at"), "seq", "removed", "n_damages").coalesce(1).write.parquet(str(source / str(i)))
+            at += n
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
+        out = tmp_path / f"out{len(cuts)}"
+        scans.run_append(scans.session_photos(stream), str(out), str(tmp_path / f"log{len(cuts)}"))
+        assert sorted(r.n_photos for r in spark.read.parquet(str(out)).collect()) == [2, 2]
 
 
 def test_stateful_sessions(spark, tmp_path):
@@ -153,7 +174,6 @@ def test_stateful_sessions(spark, tmp_path):
         frame = spark.createDataFrame(data, "session_id bigint, view_idx int, sec int, seq bigint, removed boolean, n_damages bigint")
         frame.select("session_id", "view_idx", F.timestamp_seconds(F.col("sec") + 100000).alias("captured_at"), "seq", "removed", "n_damages").coalesce(1).write.parquet(str(source / str(i)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
-    with scans.rocksdb_state(spark):
-        scans.run_append(scans.session_photos(stream), str(out), str(tmp_path / "log"))
+    scans.run_append(scans.session_photos(stream), str(out), str(tmp_path / "log"))
     got = {r.session_id: r for r in spark.read.parquet(str(out)).where("session_id = 1").collect()}
     assert (got[1].n_views, got[1].n_photos, got[1].n_retakes, got[1].n_removed, got[1].n_damages) == (1, 4, 2, 1, 5)
