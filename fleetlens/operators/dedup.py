@@ -183,7 +183,7 @@ def near_duplicate_pairs(images: DataFrame, t: int = vocab.HASH_DISTANCE) -> Dat
     return close_pairs(reps, t).unionByName(copies)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
     Alternates the large-star and small-star steps until no edge changes. Each round is written to the
@@ -201,7 +201,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = cut_lineage(tidy(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     seen = mark(current)
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = tidy(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -216,7 +216,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(

@@ -40,12 +40,13 @@ def read_damage_register(spark: SparkSession, path: str, whole_files: bool = Tru
     """(plate_original, source_pos, payload) of a register keyed by plate.
 
     A single JSON object is one record and so one task: convert it once with the Parquet writer and
-    work from there. A register with one keyed object per line is split (``whole_files=False``).
+    work from there. A register with one keyed object per line is split (``whole_files=False``). ``source_pos`` grows
+    in the order of the source, over lines and within an object.
     """
     text = spark.read.text(path, wholetext=whole_files)
     parsed = F.from_json("value", f"MAP<STRING, {schemas.REGISTER_PLATE}>")
-    return text.select(F.posexplode(parsed)).select(
-        F.col("key").alias("plate_original"), F.col("pos").alias("source_pos"), F.col("value").alias("payload")
+    return text.select(F.monotonically_increasing_id().alias("line"), F.posexplode(parsed)).select(
+        F.col("key").alias("plate_original"), (F.col("line") + F.col("pos")).alias("source_pos"), F.col("value").alias("payload")
     )
 
 
