@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,40 +115,50 @@ def close_pairs(
 ) -> DataFrame:
     """Pairs (a < b) of distinct hashes that differ in at most ``t`` bits. ``reps``: id and the hash words.
 
-    Two such hashes agree in at least one of ``t + 1`` bands, so only rows sharing a band value meet. A
-    band value held by more than ``bucket_cap`` rows is split by the bands of the remaining bits. With
-    ``complete`` every pair comes once. Without, a pair may repeat, and buckets still crowded after the
-    split give connecting edges instead of all their pairs, which is enough for grouping.
+    Two such hashes agree in at least one of ``t + 1`` bands, so only rows sharing a band value meet. A bucket
+    of more than ``bucket_cap`` rows is split by ``t + 1`` bands of its bits not used yet, again and again, as long as
+    that at least halves the comparisons. Where it does not, the bucket's hashes are alike in nearly all bits: with
+    ``complete`` they are compared pairwise, for they are the result; without, they give connecting edges, which
+    is enough for grouping. With ``complete`` every pair comes once; without, a pair may repeat.
     """
     parts = t + 1
     bands = _cuts([(0, BITS)], parts)
-    rows = reps.select("id", *WORDS)
-    banded = rows.select("id", *WORDS, F.posexplode(F.array(*[_value(run) for run in bands])).alias("i", "v"))
-    crowded = banded.groupBy("i", "v").agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select("i", "v")
-    if crowded.isEmpty():
-        pairs = _pairs_in(banded, ["i", "v"], t)
-        return pairs.distinct() if complete else pairs.select("a", "b")
-
-    crowded = cut_lineage(crowded)
-    pairs = _pairs_in(banded.join(crowded, ["i", "v"], "left_anti"), ["i", "v"], t)
-    hot = banded.join(crowded, ["i", "v"], "left_semi")
-    splits = None
-    for k in range(parts):
-        others = [r for n, run in enumerate(bands) if n != k for r in run]
-        values = F.array(*[_value(run) for run in _cuts(others, parts)])
-        splits = F.when(F.col("i") == k, values) if splits is None else splits.when(F.col("i") == k, values)
-    split = cut_lineage(hot.select("id", *WORDS, "i", "v", F.posexplode(splits).alias("j", "u")))
-    keys = ["i", "v", "j", "u"]
+    rest = {str(k): [r for n, run in enumerate(bands) if n != k for r in run] for k in range(parts)}
+    keys = ["branch", "value"]
+    rows = cut_lineage(reps.select("id", *WORDS, F.posexplode(F.array(*[_value(run) for run in bands])).alias("i", "value")).select(
+        "id", *WORDS, F.col("i").cast("string").alias("branch"), "value"
+    ))
+    found = []
+    while True:
+        crowded = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap))
+        found.append(_pairs_in(rows.join(crowded, keys, "left_anti"), keys, t))
+        branches = [r[0] for r in crowded.select("branch").distinct().collect()]  # names of bit ranges, not data
+        if not branches:
+            break
+        full = rows.join(crowded, keys)
+        nested, values = {}, []
+        for name in branches:
+            cuts = _cuts(rest[name], parts) if sum(hi - lo for lo, hi in rest[name]) >= parts else []
+            for k, run in enumerate(cuts):
+                nested[f"{name}.{k}"] = [r for n, other in enumerate(cuts) if n != k for r in other]
+            values.append(F.when(F.col("branch") == name, F.array(*[
+                F.struct(F.lit(f"{name}.{k}").alias("branch"), F.xxhash64("value", _value(run)).alias("value")) for k, run in enumerate(cuts)
+            ]) if cuts else F.array().cast("array<struct<branch:string,value:long>>")))
+        rest = nested
+        split = cut_lineage(full.select("id", *WORDS, *keys, "n", F.explode(F.coalesce(*values)).alias("k")))
+        helped = cut_lineage(
+            split.groupBy(*keys, "n", "k").agg(F.count("*").alias("c")).groupBy(*keys, "n").agg(F.sum(F.col("c") * F.col("c")).alias("s"))
+            .where("2 * s <= n * n").select(*keys)
+        )
+        alike = full.join(helped, keys, "left_anti")
+        if complete:
+            found.append(_pairs_in(alike, keys, t))
+        elif (edges := _star_rounds(alike.withColumn("bucket", F.struct(*keys)), t)) is not None:
+            found.append(edges)
+        rows = cut_lineage(split.join(helped, keys, "left_semi").select("id", *WORDS, "k.branch", "k.value"))
     if complete:
-        return pairs.unionByName(_pairs_in(split, keys, t)).distinct()
-    still = cut_lineage(
-        split.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > bucket_cap).select(*keys)
-    )
-    pairs = pairs.unionByName(_pairs_in(split.join(still, keys, "left_anti"), keys, t)).select("a", "b")
-    if still.isEmpty():
-        return pairs
-    packed = split.join(still, keys, "left_semi").withColumn("bucket", F.struct(*keys))
-    return pairs.unionByName(_star_rounds(packed, t))
+        return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, [f.select("a", "b") for f in found])
 
 
 def representatives(images: DataFrame) -> DataFrame:

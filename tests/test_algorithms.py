@@ -159,3 +159,15 @@ def test_long_chain_is_one_component(spark):
     edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
     got = dedup.connected_components(edges).collect()
     assert len(got) == 301 and {r.component for r in got} == {0}
+
+
+@pytest.mark.parametrize("complete", [True, False])
+def test_far_hashes_in_one_crowded_bucket(spark, complete):
+    """Hashes that share two bands but are far apart otherwise, among them two close pairs."""
+    rnd = random.Random(9)
+    shared = rnd.getrandbits(76)
+    hashes = [(shared << 180) | rnd.getrandbits(180) for _ in range(120)]
+    hashes += [hashes[0] ^ 0b1011, hashes[5] ^ (1 << 90)]
+    images = spark.createDataFrame([(i, f"{h:064x}") for i, h in enumerate(hashes)], "image_id long, phash string")
+    got = dedup.close_pairs(dedup.representatives(images), bucket_cap=10, complete=complete)
+    assert {(r.a, r.b) for r in got.collect()} == {(0, 120), (5, 121)}
