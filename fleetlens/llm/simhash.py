@@ -23,7 +23,7 @@ from fleetlens.session import cut_lineage
 
 by_value(__name__)
 
-BUCKET_ROWS = 1024  # a larger bucket is split by further bits until it is smaller
+BUCKET_ROWS = 16384  # rows compared in one task; a larger bucket is split by further bits until it is smaller
 PARTS = 4
 
 
@@ -158,15 +158,15 @@ def plan_partitions(points: DataFrame, tau: int, parts: int = PARTS) -> tuple[li
 
 # --- buckets ---
 
-def bucket_keys(fp: Column, groups: list[list[int]], thresholds: list[int]) -> Column:
-    """Array of (branch, value): the buckets of a fingerprint. With t_i >= 1 a row also enters the buckets of values
-    it reaches by raising up to t_i zero bits; two values within t_i bits then share a bucket."""
+def bucket_keys(groups: list[list[int]], thresholds: list[int]) -> Column:
+    """Array of (branch, value): the buckets of a row with the projections v0, v1, ... With t_i >= 1 a row also enters the
+    buckets of values it reaches by raising up to t_i zero bits; two values within t_i bits then share a bucket."""
     found = []
     for g, (bits, t) in enumerate(zip(groups, thresholds)):
         if t < 0:
             continue
         flips = [sum(1 << b for b in f) for r in range(t + 1) for f in combinations(range(len(bits)), r)]
-        value = project(fp, bits)
+        value = F.col(f"v{g}")
         masks = F.array(*[F.lit(m) for m in flips])
         found.append(F.transform(
             F.filter(masks, lambda m: value.bitwiseAND(m) == 0),
@@ -236,43 +236,58 @@ def compare_buckets(tau: int):
     return run
 
 
+def compared(rows: DataFrame, key: str, tau: int) -> DataFrame:
+    return rows.select(key, "fp").repartition(key).sortWithinPartitions(key).mapInArrow(compare_buckets(tau), "u long, v long")
+
+
 def close_links(points: DataFrame, tau: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``points`` (fp) that connect exactly what all pairs within ``tau`` bits
     connect.
 
-    Buckets above ``bucket_rows`` are split, whatever their number and depth: their bits not yet used are cut
-    into tau + 1 pieces, and by the pigeonhole principle two linked rows agree on one of these, so each row goes on in
-    tau + 1 smaller buckets. It ends where no more than tau bits are left, by when a bucket holds few fingerprints.
+    Buckets of up to ``bucket_rows`` are compared in one task. In a larger one, the bits not used yet are cut into tau + 1
+    pieces; by the pigeonhole principle two linked rows agree on one of these, so each row may go on in tau + 1
+    smaller buckets. It does where that at least halves the comparisons. Else the bucket's rows are alike in all pieces:
+    it is cut into blocks, and each pair of blocks is compared in one task. Either way no link is lost, and no task
+    compares more than two blocks.
     """
     groups, thresholds = plan_partitions(points, tau)
     used = {str(g): frozenset(bits) for g, bits in enumerate(groups)}
-    rows = points.select("fp", F.explode(bucket_keys(F.col("fp"), groups, thresholds)).alias("k")).select("fp", "k.branch", "k.value")
+    projected = points.select("fp", *[project(F.col("fp"), bits).alias(f"v{g}") for g, bits in enumerate(groups)])
+    rows = projected.select("fp", F.explode(bucket_keys(groups, thresholds)).alias("k")).select("fp", "k.branch", "k.value")
     links = []
     while True:
+        # equal keys of different buckets would only add comparisons
         rows = stored(rows.withColumn("key", F.xxhash64("branch", "value")), "simhash-buckets")
-        whole = [name for name in used if 64 - len(used[name]) > tau]  # else too few bits are left to cut
-        crowded = stored(rows.where(F.col("branch").isin(whole)).groupBy("branch", "value").agg(F.count("*").alias("n")).where(
-            F.col("n") > bucket_rows
-        ).select(F.col("branch").alias("b"), F.col("value").alias("w")), "simhash-crowded")
+        crowded = stored(rows.groupBy("branch", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select(
+            F.col("branch").alias("b"), F.col("value").alias("w"), "n"
+        ), "simhash-crowded")
         same = (F.col("branch") == F.col("b")) & (F.col("value") == F.col("w"))
-        # equal keys of different buckets would only add comparisons
-        small = rows.join(crowded, same, "left_anti").select("key", "fp").repartition("key").sortWithinPartitions("key")
-        links.append(small.mapInArrow(compare_buckets(tau), "u long, v long"))
+        links.append(compared(rows.join(crowded, same, "left_anti"), "key", tau))
         branches = [r[0] for r in crowded.select("b").distinct().collect()]  # at most parts x (tau + 1) ^ depth names
         if not branches:
             break
         pieces, nested = [], {}
         for name in branches:
             rest = sorted(set(range(64)) - used[name])
-            cuts = [rest[i::tau + 1] for i in range(tau + 1)]
+            cuts = [rest[i::tau + 1] for i in range(tau + 1)] if len(rest) > tau else []
             for i, bits in enumerate(cuts):
                 nested[f"{name}.{i}"] = used[name] | frozenset(bits)
-            pieces.append(F.when(F.col("branch") == name, F.array(*[
-                F.struct(F.lit(f"{name}.{i}").alias("branch"), F.xxhash64("value", project(F.col("fp"), bits)).alias("value"))
+            pieces.append(F.when(F.col("b") == name, F.array(*[
+                F.struct(F.lit(f"{name}.{i}").alias("branch"), F.xxhash64("w", project(F.col("fp"), bits)).alias("value"))
                 for i, bits in enumerate(cuts)
-            ])))
+            ]) if cuts else F.array().cast("array<struct<branch:string,value:long>>")))
         used = nested
-        rows = rows.join(crowded, same, "left_semi").select("fp", F.explode(F.coalesce(*pieces)).alias("k")).select("fp", "k.branch", "k.value")
+        full = rows.join(crowded, same).select("fp", "b", "w", "n")
+        cut = stored(full.select("*", F.explode(F.coalesce(*pieces)).alias("k")).select("fp", "b", "w", "n", "k.branch", "k.value"), "simhash-cut")
+        each = cut.groupBy("b", "w", "n", "branch", "value").agg(F.count("*").alias("c"))
+        helped = stored(each.groupBy("b", "w", "n").agg(F.sum(F.col("c") * F.col("c")).alias("s")).where("2 * s <= n * n").select("b", "w"), "simhash-helped")
+        blocks = F.ceil(F.col("n") / bucket_rows)
+        own = F.pmod(F.xxhash64("fp"), blocks)
+        alike = full.join(helped, ["b", "w"], "left_anti").withColumn("own", own).withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        ).withColumn("key", F.xxhash64("b", "w", F.least("own", "other"), F.greatest("own", "other")))
+        links.append(compared(alike, "key", tau))
+        rows = cut.join(helped, ["b", "w"], "left_semi").select("fp", "branch", "value")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -331,32 +346,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- near duplicates by shingle similarity ---
 
-def similar_edges(members: DataFrame, similarity: float, leaders: int = 16) -> DataFrame:
-    """Links (u, v) of ``members`` (node, part, shingles: array of hashes) of one part whose shingle sets have at least
-    the given Jaccard similarity.
+def similar_blocks(similarity: float):
+    """Members of some block pairs (part, low, high, node, shingles) -> links (u, v): of each block pair a spanning forest of
+    the exact Jaccard links. Shared shingles are counted over lists of the members that have a shingle."""
+    def links(nodes: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, sizes = len(nodes), np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(n), sizes)
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        by_value = owner[np.argsort(code, kind="stable")]
+        ends = np.cumsum(np.bincount(code, minlength=len(values)))
+        starts, at = ends - np.bincount(code, minlength=len(values)), np.cumsum(sizes) - sizes
+        left, right, waiting = [np.arange(n)], [np.arange(n)], 0
+        for i in range(n):
+            own = code[at[i]:at[i] + sizes[i]]
+            having = np.concatenate([by_value[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())]) if len(own) else own
+            shared = np.bincount(having, minlength=n)[i + 1:]
+            near = np.flatnonzero(shared >= similarity * (sizes[i] + sizes[i + 1:] - shared)) + i + 1
+            left.append(np.full(len(near), i))
+            right.append(near)
+            waiting += len(near)
+            if waiting > 1 << 20:  # keep only what connects
+                left, right, waiting = [np.arange(n)], [forest(np.concatenate(left), np.concatenate(right), n)], 0
+        label = forest(np.concatenate(left), np.concatenate(right), n)
+        joined = np.flatnonzero(label != np.arange(n))
+        return nodes[label[joined]], nodes[joined]
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.stack([table.column(c).to_numpy() for c in ("part", "low", "high")])
+        nodes, sets = table.column("node").to_numpy(), table.column("shingles").combine_chunks()
+        order = np.lexsort(keys)
+        cuts = np.flatnonzero((np.diff(keys[:, order], axis=1) != 0).any(axis=0)) + 1
+        found = [(nodes[:0], nodes[:0])]
+        for group in np.split(order, cuts):
+            if len(group) > 1:
+                found.append(links(nodes[group], [sets[int(i)].values.to_numpy(zero_copy_only=False) for i in group]))
+        return pa.table({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])})
 
-    A part may be large, so its pairs are never listed. Each round compares the members still open with a few open
-    leaders of their part; members linked to one, and the leaders, are then done. Rounds go on until none is open,
-    so every member was compared with every leader up to the one that it joined.
+    return run
+
+
+def similar_edges(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
+    """Links (u, v) that connect exactly what all pairs of ``members`` (node, part, m: members of the part, shingles:
+    array of distinct hashes) of one part with Jaccard similarity of at least ``similarity`` connect.
+
+    A part is cut into blocks, and every pair of blocks is compared in one task, so that no group grows beyond two
+    blocks and pairs never become rows. Small parts share tasks.
     """
-    found, turn = None, 0
-    while True:
-        slot = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(leaders))
-        chosen = members.groupBy("part", slot.alias("slot")).agg(F.min("node").alias("leader"))
-        heads = stored(chosen.join(members.select(F.col("node").alias("leader"), F.col("shingles").alias("other")), "leader").select(
-            F.col("part").alias("p"), "leader", "other"
-        ), "similar-heads")
-        both = F.size(F.array_intersect("shingles", "other"))
-        close = both >= similarity * (F.size("shingles") + F.size("other") - both)
-        edges = stored(members.join(heads, (F.col("part") == F.col("p")) & (F.col("node") != F.col("leader"))).where(close).select(
-            F.col("leader").alias("u"), F.col("node").alias("v")
-        ), "similar-edges")
-        found = edges if found is None else found.unionByName(edges)
-        done = edges.select(F.col("v").alias("d")).unionByName(heads.select(F.col("leader").alias("d"))).distinct()
-        members = stored(members.join(done, F.col("node") == F.col("d"), "left_anti"), "similar-open")
-        turn += 1
-        if members.isEmpty():
-            return found
+    blocks = F.ceil(F.col("m") / block)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    keyed = spread.select("part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles", "m")
+    tasks = max(64, members.count() // block)
+    task = F.when(F.col("m") <= block, F.pmod(F.xxhash64("part"), F.lit(tasks))).otherwise(F.xxhash64("part", "low", "high"))
+    return keyed.withColumn("task", task).groupBy("task").applyInArrow(similar_blocks(similarity), "u long, v long")
 
 
 def without_near_duplicates(
@@ -384,12 +426,16 @@ def without_near_duplicates(
     points = stored(classes.select("fp").distinct(), "similar-points")
     parts = components(close_links(points, tau)).select(F.col("node").alias("f"), F.col("component").alias("part"))
     near = classes.join(parts, F.col("fp") == F.col("f"), "left").select("node", "best", F.coalesce("part", "fp").alias("part"))
-    crowded = near.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select(F.col("part").alias("q"))
-    wanted = stored(near.join(crowded, F.col("part") == F.col("q")).select("part", "best.id", F.col("node").alias("own")), "similar-wanted")
+    crowded = near.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select(F.col("part").alias("q"), "m")
+    wanted = stored(near.join(stored(crowded, "similar-parts"), F.col("part") == F.col("q")).select(
+        "part", "m", "best.id", F.col("node").alias("own")
+    ), "similar-wanted")
     texts = docs.select(F.col(id_col).alias("t_id"), words(ascii_lower(text)).alias("w"))
-    found = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("id"))).select("part", "own", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), "w")
+    found = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("id"))).select(
+        "part", "m", "own", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), "w"
+    )
     members = stored(found.where("node = own").dropDuplicates(["node"]).select(
-        "node", "part", shingle_hashes(F.col("w"), k, True).alias("shingles")
+        "node", "part", "m", shingle_hashes(F.col("w"), k, True).alias("shingles")
     ), "similar-members")
     groups = components(similar_edges(members, similarity)).select(F.col("node").alias("g"), "component")
     labelled = stored(classes.join(groups, F.col("node") == F.col("g"), "left").select("node", "best", F.coalesce("component", "node").alias("component")), "similar-groups")
