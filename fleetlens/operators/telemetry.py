@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import scalars as S
@@ -33,27 +33,26 @@ def photo_rollup(calls: DataFrame) -> DataFrame:
     return photos.withColumn("usd", usd)
 
 
-def latency_p95(photos: DataFrame) -> DataFrame:
-    """Per session the element at ``min(int(n * 0.95), n - 1)`` of the sorted latencies, no interpolation.
+def p95_seconds() -> Column:
+    """Aggregate: the element at ``min(int(n * 0.95), n - 1)`` of the sorted latencies, no interpolation. A session holds
+    each view once, so it has no more latencies than there are views."""
+    latencies = F.sort_array(F.collect_list("latency_ms"))
+    n = F.size(latencies)
+    return F.get(latencies, F.least(F.floor(n * 0.95), n - 1).cast("int")) / 1000.0
 
-    Runs over distinct latencies with their counts, not over the photos.
-    """
-    counted = photos.groupBy("session_id", "latency_ms").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("session_id").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("session_id")
-    placed = counted.select("session_id", "latency_ms", F.sum("n").over(upto).alias("upto"), F.sum("n").over(whole).alias("n"))
-    at = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
-    return placed.where(F.col("upto") > at).groupBy("session_id").agg((F.min("latency_ms") / 1000.0).alias("p95_latency_s"))
+
+def latency_p95(photos: DataFrame) -> DataFrame:
+    return photos.groupBy("session_id").agg(p95_seconds().alias("p95_latency_s"))
 
 
 def session_rollup(photos: DataFrame, n_expected: int = 12) -> DataFrame:
-    """Session totals. Optional photo columns: n_damages, auto_retry_count."""
+    """Session totals, in one aggregate. Optional photo columns: n_damages, auto_retry_count."""
     zero = F.lit(0)
     extra = {c: (F.col(c) if c in photos.columns else zero) for c in ("n_damages", "auto_retry_count")}
     micros = lambda c: F.unix_micros(c.cast("timestamp"))  # logged times may come without a zone
     seconds = (micros(F.max("captured_at")) - micros(F.min("captured_at"))) / 1000000.0
     done = F.countDistinct("view_idx")
-    totals = photos.groupBy("session_id").agg(
+    return photos.groupBy("session_id").agg(
         F.lit(n_expected).alias("n_expected_views"), done.alias("n_completed_views"),
         F.greatest(n_expected - done, zero).alias("n_missing_views"),
         F.count("*").alias("n_photos"), F.sum(extra["n_damages"]).alias("n_damages_total"),
@@ -63,9 +62,8 @@ def session_rollup(photos: DataFrame, n_expected: int = 12) -> DataFrame:
         F.sum("prompt_tokens").alias("total_prompt_tokens"), F.sum("completion_tokens").alias("total_completion_tokens"),
         F.round(F.sum("usd"), 9).alias("total_usd_estimated"),
         F.round(F.avg("latency_ms") / 1000.0, 9).alias("avg_latency_s"),
-        seconds.alias("duration_s"),
+        seconds.alias("duration_s"), p95_seconds().alias("p95_latency_s"),
     )
-    return totals.join(latency_p95(photos), "session_id")
 
 
 def view_coverage(photos: DataFrame, expected: list[str]) -> DataFrame:

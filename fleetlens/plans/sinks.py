@@ -25,9 +25,15 @@ def coco(t):
 
 
 @query("k02_coco_categories", """
-SELECT CAST(id AS INT) AS id, name FROM (VALUES (1, 'scratch'), (2, 'stone_chip'), (3, 'dent'), (4, 'crack'), (5, 'missing'), (6, 'major'), (7, 'other')) v(id, name)""")
+SELECT CAST(v.id AS INT) AS id, name, count(a.id) AS n_annotations
+FROM (VALUES (1, 'scratch'), (2, 'stone_chip'), (3, 'dent'), (4, 'crack'), (5, 'missing'), (6, 'major'), (7, 'other')) v(id, name)
+LEFT JOIN (SELECT a.id, CASE WHEN label IN ('scratch', 'stone_chip', 'dent', 'crack', 'missing', 'major') THEN label ELSE 'other' END AS label
+  FROM v_annotations a JOIN v_images i ON a.image_id = i.image_id WHERE source = 'human') a ON a.label = name GROUP BY ALL""")
 def _(t):
-    return coco(t)[0]
+    """The categories, each with the annotations that the export holds of it."""
+    categories, _, annotations = coco(t)
+    used = annotations.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("n_annotations"))
+    return categories.join(used, "id", "left").fillna(0, ["n_annotations"])
 
 
 COCO_IMAGES = """
