@@ -26,7 +26,7 @@ INDEX = "shard long, sizes binary, bits binary, fingerprints binary, counts bina
 
 def slots(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
     x = h1 ^ ((h2 << np.uint64(32)) | (h2 >> np.uint64(32)))
-    x = x + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = x + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)

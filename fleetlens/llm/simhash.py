@@ -430,10 +430,9 @@ def without_near_duplicates(
     wanted = stored(near.join(stored(crowded, "similar-parts"), F.col("part") == F.col("q")).select(
         "part", "m", "best.id", F.col("node").alias("own")
     ), "similar-wanted")
-    texts = docs.select(F.col(id_col).alias("t_id"), words(ascii_lower(text)).alias("w"))
-    found = texts.join(wanted, F.col("t_id").eqNullSafe(F.col("id"))).select(
-        "part", "m", "own", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), "w"
-    )
+    # merge: both sides grow with the data; only texts travel, words are taken of those that matched
+    texts = docs.select(F.col(id_col).alias("t_id"), text.alias("text")).join(wanted.hint("merge"), F.col("t_id").eqNullSafe(F.col("id")))
+    found = texts.select("part", "m", "own", words(ascii_lower(F.col("text"))).alias("w")).withColumn("node", F.xxhash64(F.concat_ws(" ", "w")))
     members = stored(found.where("node = own").dropDuplicates(["node"]).select(
         "node", "part", "m", shingle_hashes(F.col("w"), k, True).alias("shingles")
     ), "similar-members")
@@ -444,7 +443,7 @@ def without_near_duplicates(
     )
     node = F.xxhash64(F.concat_ws(" ", words(ascii_lower(text))))
     kept = docs.withColumn("_node", node).join(
-        stored(stays, "similar-stays"), F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_node") == F.col("_stay_node")), "left_semi"
+        stored(stays, "similar-stays").hint("merge"), F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_node") == F.col("_stay_node")), "left_semi"
     )
     if rows.groupBy("id", "node").count().where("count > 1").isEmpty():
         return kept.drop("_node")
