@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import ascii_lower, by_value, stored, words
+from fleetlens.llm.suffix_dedup import BASE, mixed
 from fleetlens.session import cut_lineage
 
 by_value(__name__)
 
 BUCKET_ROWS = 16384  # rows compared in one task; a larger bucket is split by further bits until it is smaller
 PARTS = 4
+BAND, MISS = 3, 1e-12  # minima a key is made of; bound on each of the two ways to miss a pair of just the similarity
+SKETCH_ROWS = 4096  # rows of one key compared in one task
 
 
 # --- fingerprints ---
@@ -346,6 +349,117 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- near duplicates by shingle similarity ---
 
+def sketch_plan(similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """(bands, least): a pair of at least ``similarity`` agrees in no band of ``BAND`` minima, or in fewer than ``least`` of
+    all minima, with a probability of at most ``miss`` each. Minima agree independently with the pair's Jaccard similarity."""
+    bands = 1 if similarity >= 1 else max(1, ceil(log(miss) / log1p(-similarity ** BAND)))
+    n, least, tail = bands * BAND, 0, 0.0
+    while least < n and (tail := tail + comb(n, least) * similarity ** least * (1 - similarity) ** (n - least)) <= miss:
+        least += 1
+    return bands, least
+
+
+def minima(values: np.ndarray, starts: np.ndarray, functions: int) -> np.ndarray:
+    """(set, function): least value of each hash function over the sets that begin at ``starts``."""
+    seeds = mixed(np.arange(1, functions + 1, dtype=np.uint64) * np.uint64(BASE))
+    out = np.empty((len(starts), functions), dtype=np.uint64)
+    ends, i = np.append(starts[1:], len(values)), 0
+    while i < len(starts):  # slices that stay in the processor's cache
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 32768, side="right")))
+        part, at = values[starts[i]:ends[j - 1]], starts[i:j] - starts[i]
+        for f in range(functions):
+            out[i:j, f] = np.minimum.reduceat(mixed(part ^ seeds[f]), at)
+        i = j
+    return out
+
+
+def sketches(bands: int):
+    """id, hashes -> id, keys (one per band), sketch (a byte of each minimum); nothing for a text without words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            full = sizes > 0
+            least = minima(values, (np.cumsum(sizes) - sizes)[full], bands * BAND)
+            keys = np.empty((len(least), bands), dtype=np.uint64)
+            for b in range(bands):
+                key = np.full(len(least), b + 1, dtype=np.uint64)
+                for f in range(b * BAND, (b + 1) * BAND):
+                    key = mixed(key * np.uint64(BASE) + least[:, f])
+                keys[:, b] = key
+            ends = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
+            held = iter((least & np.uint64(255)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
+                pa.array([next(held).tobytes() if x else b"" for x in full], pa.binary()),
+            ], ["id", "keys", "sketch"])
+
+    return run
+
+
+def compare_sketches(least: int):
+    """key, node, sketch sorted by key -> links (u, v): of each key a forest that connects what its pairs with ``least``
+    equal bytes connect."""
+    def links_of(nodes: np.ndarray, sketch: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(nodes)
+        label, left, right, offset, at = np.arange(n), [], [], 1, np.arange(n - 1)
+        while len(at):  # row i against row i + offset, for all keys at once
+            at = at[at + offset < n]
+            at = at[bucket[at] == bucket[at + offset]]
+            apart = at[label[at] != label[at + offset]]  # what is connected needs no further link
+            for c in range(0, len(apart), 1 << 15):
+                i = apart[c:c + (1 << 15)]
+                i = i[np.count_nonzero(sketch[i] == sketch[i + offset], axis=1) >= least]
+                left.append(i)
+                right.append(i + offset)
+            if left and offset & (offset - 1) == 0 or len(left) > 64:
+                label = forest(np.concatenate([*left, np.arange(n)]), np.concatenate([*right, label]), n)
+                left, right = [], []
+            offset += 1
+        label = forest(np.concatenate([*left, np.arange(n)]), np.concatenate([*right, label]), n)
+        joined = np.flatnonzero(label != np.arange(n))
+        return nodes[label[joined]], nodes[joined]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(key, nodes, sketch):
+            u, v = links_of(nodes, sketch, key)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        kept = None  # the last key of a batch may go on in the next
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)
+            if kept is not None:
+                key, nodes, sketch = (np.concatenate(x) for x in zip(kept, (key, nodes, sketch)))
+            others = np.flatnonzero(key != key[-1])
+            last = others[-1] + 1 if len(others) else 0
+            kept = key[last:], nodes[last:], sketch[last:]
+            if last:
+                yield emit(key[:last], nodes[:last], sketch[:last])
+        if kept is not None:
+            yield emit(*kept)
+
+    return run
+
+
+def sketch_links(points: DataFrame, least: int, rows: int = SKETCH_ROWS) -> DataFrame:
+    """Links (u, v) that connect what all pairs of ``points`` (node, keys, sketch) with a common key and ``least`` equal bytes
+    connect. Of keys with the same members one is compared; one with more than ``rows`` members by pairs of blocks."""
+    keyed = points.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("who")).where("m > 1")
+    once = stored(shared.groupBy("m", "who").agg(F.min("key").alias("k")).select("k", "m"), "similar-keys")
+    met = keyed.join(once, F.col("key") == F.col("k")).select(F.col("node").alias("o"), "key", "m")
+    blocks = F.ceil(F.col("m") / rows)
+    spread = met.join(points.select("node", "sketch"), F.col("o") == F.col("node")).withColumn(
+        "own", F.pmod(F.xxhash64("node"), blocks)
+    ).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    cells = spread.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "sketch")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare_sketches(least), "u long, v long")
+
+
 def similar_blocks(similarity: float):
     """Members of some block pairs (part, low, high, node, shingles) -> links (u, v): of each block pair a spanning forest of
     the exact Jaccard links. Shared shingles are counted over lists of the members that have a shingle."""
@@ -402,31 +516,32 @@ def similar_edges(members: DataFrame, similarity: float, block: int = 1024) -> D
 
 
 def without_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, tau: int = 7
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group of copies and near copies.
 
-    Texts with the same lower-cased words are copies. Candidates are texts whose SimHash over their different
-    words is within ``tau`` bits, directly or through others: word sets change less under small edits than
-    shingles do, so few bits find what is similar. They are near copies if their ``k``-word shingle sets (a
-    shorter text: its whole sequence) have Jaccard similarity of at least ``similarity``, and groups are what such
-    links connect. The smallest id of a group stays (null ids last); of rows that repeat its id and words, exactly one.
+    Texts with the same lower-cased words are copies. Texts are near copies if their ``k``-word shingle sets (a shorter
+    text: its whole sequence) have Jaccard similarity of at least ``similarity``, and groups are what such links
+    connect. Candidates are taken by minima of independent hash functions over these same sets, so that whatever
+    changed, edits here and there or a long passage, a pair is missed with a probability of at most 2 * ``MISS``
+    (see :func:`sketch_plan`), and verified exactly, directly or through others.
+    The smallest id of a group stays (null ids last); of rows that repeat its id and words, exactly one.
     Null and empty texts are copies of each other. Empty input gives empty output.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     split = docs.select(F.col(id_col).alias("id"), words(ascii_lower(text)).alias("w"))
     kind = docs.schema[id_col].dataType.simpleString()
-    hashed = split.select("id", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), shingle_hashes(F.col("w"), 1, True).alias("hashes"))
+    bands, least = sketch_plan(similarity)
+    hashed = split.select("id", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), shingle_hashes(F.col("w"), k).alias("hashes"))
     rows = stored(hashed.select(F.struct("id", "node").alias("id"), "hashes").mapInArrow(
-        bit_majority, f"id struct<id:{kind},node:long>, fp long"
-    ).select("id.id", "id.node", "fp"), "similar-rows")
-    classes = stored(rows.groupBy("node", "fp").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("z"), "id")).alias("best")
+        sketches(bands), f"id struct<id:{kind},node:long>, keys array<long>, sketch binary"
+    ).select("id.id", "id.node", "keys", "sketch"), "similar-rows")
+    classes = stored(rows.groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull().alias("z"), "id")).alias("best"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
     ), "similar-classes")
-    points = stored(classes.select("fp").distinct(), "similar-points")
-    parts = components(close_links(points, tau)).select(F.col("node").alias("f"), F.col("component").alias("part"))
-    near = classes.join(parts, F.col("fp") == F.col("f"), "left").select("node", "best", F.coalesce("part", "fp").alias("part"))
-    crowded = near.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select(F.col("part").alias("q"), "m")
+    parts = components(sketch_links(classes, least)).select(F.col("node").alias("f"), F.col("component").alias("part"))
+    near = classes.join(parts, F.col("node") == F.col("f")).select("node", "best", "part")
+    crowded = near.groupBy("part").agg(F.count("*").alias("m")).select(F.col("part").alias("q"), "m")
     wanted = stored(near.join(stored(crowded, "similar-parts"), F.col("part") == F.col("q")).select(
         "part", "m", "best.id", F.col("node").alias("own")
     ), "similar-wanted")

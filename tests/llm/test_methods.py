@@ -177,3 +177,49 @@ def test_arc_versions():
     assert warc.warc_fields(rows[1])["type"] == "resource"
     assert [(r["url"], r["result-code"], r["content"]) for r in warc.arc_records(two)] == [("http://a/", "200", b"Hello")]
     assert list(warc.arc_records(b"")) == [] and list(warc.arc_records(b"\x00\x01")) == []
+
+
+def test_near_duplicates_of_contiguous_changes(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(rnd.choice([40, 150, 400, 900]))]
+        n = len(base)
+        scattered = [word() if rnd.random() < 0.015 else w for w in base]
+        texts += [base, base + [word() for _ in range(int(n * 0.15))], base + [word() for _ in range(int(n * rnd.uniform(0.2, 0.3)))],
+                  base[:int(n * 0.85)], base[:int(n * rnd.uniform(0.72, 0.85))], [word() for _ in range(n // 10)] + base, scattered]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.without_near_duplicates(docs).collect())
+    assert got == sorted({find(i) for i in range(len(texts))})
+
+
+def test_sketch_links(spark):
+    bands, least = simhash.sketch_plan(0.8)
+    assert (1 - 0.8 ** 3) ** bands <= 1e-12 < (1 - 0.8 ** 3) ** (bands - 1)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(3):  # groups far above the block size, one key shared by all
+        centre = rng.integers(0, 256, bands * 3, dtype=np.uint8)
+        for i in range(50):
+            x = centre.copy()
+            x[:20 + g] = rng.integers(0, 256, 20 + g)
+            rows.append((g * 50 + i, [7, 100 + g, 1000 + g * 50 + i], bytearray(x.tobytes())))
+    points = spark.createDataFrame(rows, "node long, keys array<long>, sketch binary")
+    for size in (8, 4096):
+        parts = simhash.components(simhash.sketch_links(points, least, size)).collect()
+        assert sorted((r.node, r.component) for r in parts) == [(i, i // 50 * 50) for i in range(150)]
