@@ -167,7 +167,7 @@ def column_order(matrix: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
         if column + 1 in stopping and len(order):  # strings that began at the last column leave
             keep = np.flatnonzero(begin[order] <= column)
             if len(keep) < len(order):
-                common = np.minimum.reduceat(common, np.append(0, keep[:-1] + 1)) if len(keep) else common[:0]
+                common = np.minimum.reduceat(common[:keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else common[:0]
                 order = order[keep]
         if (new := starting.get(column + 1)) is not None:  # the empty suffix sorts first and shares nothing
             order, common = np.concatenate([new, order]), np.concatenate([np.zeros(len(new), np.int16), common])

@@ -223,3 +223,29 @@ def test_sketch_links(spark):
     for size in (8, 4096):
         parts = simhash.components(simhash.sketch_links(points, least, size)).collect()
         assert sorted((r.node, r.component) for r in parts) == [(i, i // 50 * 50) for i in range(150)]
+
+
+def columns_of(strings, lead):
+    begin = np.array(lead)
+    end = begin + [len(s) for s in strings]
+    matrix = np.zeros((len(strings), int(end.max())), np.uint8)
+    for i, s in enumerate(strings):
+        matrix[i, begin[i]:end[i]] = list(s.encode())
+    return matrix, begin, end
+
+
+def test_column_order_where_strings_leave():
+    got = suffix_dedup.column_order(*columns_of(["cabd", "cabe", "zz"], [0, 0, 2]), 3)
+    assert got[:, 0].tolist() == [True, True, False] and not got[:, 1:].any()
+    rnd = random.Random(9)
+    letters = "".join(map(chr, range(33, 97)))
+    for _ in range(20):
+        anchors = ["".join(rnd.choice(letters) for _ in range(12)) for _ in range(15)]
+        cut = [(rnd.randint(0, 8), a + rnd.choice(letters) * 2) for a in anchors for _ in range(4)]
+        strings, lead = [a[s:] for s, a in cut], [s for s, _ in cut]
+        got = suffix_dedup.column_order(*columns_of(strings, lead), 5)
+        for i, s in enumerate(strings):
+            for c in range(got.shape[1]):
+                own = s[c - lead[i]:c - lead[i] + 5] if c >= lead[i] else ""
+                want = len(own) == 5 and any(j != i and c >= lead[j] and t[c - lead[j]:c - lead[j] + 5] == own for j, t in enumerate(strings))
+                assert got[i, c] == want
