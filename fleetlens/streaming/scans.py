@@ -64,17 +64,25 @@ def session_photos(photos: DataFrame, idle_minutes: int = 30, delay: str = "10 m
 
     A session of one session_id ends when no photo follows for ``idle_minutes``; it comes out once the watermark has
     passed that end, and photos that arrive later still are dropped (the query's progress counts them). Of each view
-    0 ... ``n_views`` - 1 the newest photo counts; earlier ones are retakes. The same expression serves batch and stream.
+    the newest photo counts; earlier ones are retakes. Views 0 ... ``n_views`` - 1 keep one photo each in the state; photos
+    of any other view (null is one view) are kept until the session closes. The same expression serves batch and stream.
     """
     taken_at = F.struct("captured_at", "seq")
     newest = [
         F.max_by(F.struct("removed", "n_damages"), F.when(F.col("view_idx") == v, taken_at)).alias(f"_v{v}") for v in range(n_views)
     ]
-    known = photos.where(F.col("view_idx").between(0, n_views - 1)).withWatermark("captured_at", delay)
-    closed = known.groupBy("session_id", F.session_window("captured_at", f"{idle_minutes} minutes").alias("w")).agg(
-        F.count("*").alias("n_photos"), *newest
+    known = F.coalesce(F.col("view_idx").between(0, n_views - 1), F.lit(False))
+    other = F.collect_list(F.when(~known, F.struct("captured_at", "seq", "removed", "n_damages", "view_idx")))
+    closed = photos.withWatermark("captured_at", delay).groupBy(
+        "session_id", F.session_window("captured_at", f"{idle_minutes} minutes").alias("w")
+    ).agg(F.count("*").alias("n_photos"), other.alias("_other"), *newest)
+    of_other = F.transform(F.array_distinct(F.transform("_other", lambda p: p["view_idx"])), lambda v: F.array_max(
+        F.filter("_other", lambda p: p["view_idx"].eqNullSafe(v))
+    ))
+    current = F.concat(
+        F.filter(F.array(*[f"_v{v}" for v in range(n_views)]), lambda p: p.isNotNull()),
+        F.transform(of_other, lambda p: F.struct(p["removed"].alias("removed"), p["n_damages"].alias("n_damages"))),
     )
-    current = F.filter(F.array(*[f"_v{v}" for v in range(n_views)]), lambda p: p.isNotNull())
     live = F.filter(current, lambda p: ~p["removed"])
     return closed.select(
         "session_id", F.size(live).cast("long").alias("n_views"), "n_photos", (F.col("n_photos") - F.size(current)).alias("n_retakes"),

@@ -177,3 +177,13 @@ def test_stateful_sessions(spark, tmp_path):
     scans.run_append(scans.session_photos(stream), str(out), str(tmp_path / "log"))
     got = {r.session_id: r for r in spark.read.parquet(str(out)).where("session_id = 1").collect()}
     assert (got[1].n_views, got[1].n_photos, got[1].n_retakes, got[1].n_removed, got[1].n_damages) == (1, 4, 2, 1, 5)
+
+
+def test_sessions_count_photos_of_other_views(spark):
+    rows = [(0, 0, False, 1), (20, None, False, 2), (25, None, True, 4), (40, 12, False, 8), (45, 13, False, 16), (50, 12, False, 32), (70, 0, False, 64), (110, -1, False, 128)]
+    photos = spark.createDataFrame([(7, i, v, removed, n, m) for i, (m, v, removed, n) in enumerate(rows)],
+                                   "session_id long, seq long, view_idx int, removed boolean, n_damages long, minute long")
+    photos = photos.withColumn("captured_at", F.timestamp_seconds(F.col("minute") * 60))
+    got = scans.session_photos(photos).orderBy("closed_at").collect()
+    counts = [(r.n_photos, r.n_views, r.n_retakes, r.n_removed, r.n_damages) for r in got]
+    assert counts == [(7, 3, 3, 1, 64 + 32 + 16), (1, 1, 0, 0, 128)]
