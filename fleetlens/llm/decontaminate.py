@@ -194,7 +194,9 @@ def clean_documents(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT, short: int = SHORT,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``docs`` in which :func:`contaminated` finds no item, with all their columns; nothing is shuffled."""
-    for block in blocks(benchmark, block_bytes):
+    """The rows of ``docs`` in which :func:`contaminated` finds no item, with all their columns; nothing is shuffled. Items
+    without id count too."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
+    for block in blocks(items, block_bytes):
         docs = docs.where(clean_test(block, chars_per_edit, short)(F.col(text_col).cast("string")))
     return docs

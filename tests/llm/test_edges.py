@@ -210,3 +210,10 @@ def test_pipeline_stages(spark, docs, empty):
     mixed = mixing.repeated(docs, mixing.mix(docs))
     assert mixed.columns == docs.columns
     assert mixing.repeated(empty, mixing.mix(empty)).count() == 0
+
+
+def test_items_without_id_are_cleaned(spark):
+    item = "a question long enough to be searched inside of other texts"
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "something else"), (3, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, item), (4, None)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, benchmark).collect()) == [2, 3]
