@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, warc
+from fleetlens.llm import (
+    decontaminate, exact_dedup, hard_negatives, lexical_search, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, warc,
+)
 from fleetlens.llm.common import table
 
 
@@ -51,9 +53,17 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in [
     op1_decontamination, op2_quality, op3_exact_dedup, op4_warc, op5_simhash, op6_line_dedup, op7_suffix_dedup, op8_mixing,
-    op9_token_counts, op10_sharding,
+    op9_token_counts, op10_sharding, op12_hard_negatives, op13_lexical_search,
 ]}
 
 ORACLE_SQL = {
@@ -120,4 +130,36 @@ f AS (
 SELECT doc_id, n_bytes, CASE WHEN f.depth = 0 THEN '' ELSE substr(lpad(bin(bits), 48, '0'), 1, CAST(f.depth AS INTEGER)) END AS shard,
   f.depth, shard_bytes, shard_bytes > 16777216 AS oversized
 FROM f JOIN s ON f.depth = s.depth AND f.bits >> (48 - f.depth) = s.prefix""",
+    "op12_hard_negatives": r"""
+WITH r AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor, anchor_id, uid AS positive, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor, positive ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_lexical_search": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY ALL),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // total AS m FROM n, g),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER v AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW v AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER v <= 10""",
 }
