@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    decontaminate, exact_dedup, hard_negatives, lexical_search, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, warc,
+    decontaminate, exact_dedup, hard_negatives, language_model, lexical_search, line_dedup, mixing, quality, sharding, simhash, suffix_dedup,
+    token_counts, warc,
 )
 from fleetlens.llm.common import table
 
@@ -53,6 +54,11 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(table(spark, folder, "documents"))
 
 
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return language_model.log_scores(table(spark, folder, "documents"), held_out)
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
 
@@ -63,7 +69,7 @@ def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in [
     op1_decontamination, op2_quality, op3_exact_dedup, op4_warc, op5_simhash, op6_line_dedup, op7_suffix_dedup, op8_mixing,
-    op9_token_counts, op10_sharding, op12_hard_negatives, op13_lexical_search,
+    op9_token_counts, op10_sharding, op11_language_model, op12_hard_negatives, op13_lexical_search,
 ]}
 
 ORACLE_SQL = {
