@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +76,70 @@ def _pairs_in(rows: DataFrame, keys: list[str], t: int) -> DataFrame:
     )
 
 
+BLOCK_ROWS = 2000
+
+
+def _in_blocks(rows: DataFrame, salts: int) -> DataFrame:
+    """Add ``n_blocks`` of the row's bucket and side, and ``block``. Rows: bucket, side, id, _salt; sizes travel by salt."""
+    sizes = rows.groupBy("bucket", "side").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("n_blocks"))
+    both = sizes.groupBy("bucket").agg(*[F.max(F.when(F.col("side") == k, F.col("n_blocks"))).alias(f"n{k}") for k in (0, 1)])
+    spread = both.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))
+    return rows.join(spread, ["bucket", "_salt"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), own))
+
+
+def _bridges(rows: DataFrame, t: int, salts: int) -> DataFrame:
+    """An edge (a, b) for each row b of side 1 that is within ``t`` of a row of side 0 in its bucket.
+
+    Each block of one side meets each block of the other in a group of its own.
+    """
+    placed = _in_blocks(rows, salts).where(F.col("n0").isNotNull() & F.col("n1").isNotNull())
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = placed.where("side = 0").select("bucket", "id", *WORDS, F.col("block").alias("i"), every("n1").alias("j"))
+    right = placed.where("side = 1").select(
+        "bucket", F.col("id").alias("r_id"), *[F.col(w).alias("r_" + w) for w in WORDS], every("n0").alias("i"), F.col("block").alias("j")
+    )
+    met = left.join(right.hint("merge"), ["bucket", "i", "j"]).where(hamming("", "r_") <= t)
+    return met.groupBy("r_id").agg(F.min("id").alias("a")).select("a", F.col("r_id").alias("b"))
+
+
+def _forest_of(t: int):
+    """Rows of two blocks (or one) -> the edges of a forest that connects all rows within ``t``."""
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        words = np.stack([table.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
+        new, edges = np.ones(len(ids), bool), []
+        for root in range(len(ids)):
+            if not new[root]:
+                continue
+            new[root], todo = False, [root]
+            while todo:
+                at = todo.pop()
+                near = np.flatnonzero(new)
+                near = near[np.bitwise_count(words[near] ^ words[at]).sum(axis=1, dtype=np.int64) <= t]
+                new[near] = False
+                edges += [(ids[at], ids[k]) for k in near]
+                todo += near.tolist()
+        return pa.table([pa.array([int(e[i]) for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _forests(rows: DataFrame, t: int, salts: int) -> DataFrame:
+    """Edges that connect everything within ``t`` in each bucket, by pairs of blocks: each row travels once per block."""
+    placed = _in_blocks(rows.withColumn("side", F.lit(0)), salts)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n0") - 1))
+    met = placed.select("bucket", "id", *WORDS, "block", every.alias("other"))
+    met = met.select("bucket", "id", *WORDS, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return met.groupBy("bucket", "i", "j").applyInArrow(_forest_of(t), "a long, b long")
+
+
 def _star_rounds(rows: DataFrame, t: int, rounds: int = 8, salts: int = 64) -> DataFrame:
     """Edges that connect everything within ``t`` in crowded buckets, without listing all pairs.
 
     Rows: bucket, id, words. Each round takes one leader per bucket. Rows within ``t`` of it are tied to
-    the leader and leave; of those, only the ones that may reach a row in the ring ``t`` to ``2t`` are
-    compared with that ring, one edge per ring row. What is left after the rounds is compared pairwise.
+    the leader and leave; they are compared with the ring ``t`` to ``2t``, one edge per ring row. What is left after the
+    rounds is compared pairwise. Both comparisons go by pairs of blocks of at most about ``BLOCK_ROWS`` rows.
     """
     edges = None
 
@@ -100,13 +160,9 @@ def _star_rounds(rows: DataFrame, t: int, rounds: int = 8, salts: int = 64) -> D
         near = cut_lineage(rest.join(leaders, ["bucket", "_salt"]).withColumn("d", hamming()))
         inner = near.where(F.col("d") <= t)
         add(inner.where(F.col("id") != F.col("b_id")).select(F.col("b_id").alias("a"), F.col("id").alias("b")))
-        ring = near.where((F.col("d") > t) & (F.col("d") <= 2 * t)).select(
-            "bucket", F.col("id").alias("r_id"), *[F.col(w).alias("r_" + w) for w in WORDS]
-        )
-        bridged = inner.join(ring, "bucket").where(hamming("", "r_") <= t)
-        add(bridged.groupBy("r_id").agg(F.min("id").alias("a")).select("a", F.col("r_id").alias("b")))
+        add(_bridges(near.where(F.col("d") <= 2 * t).withColumn("side", (F.col("d") > t).cast("int")), t, salts))
         rest = near.where(F.col("d") > t).select("bucket", "id", *WORDS, "_salt")
-    add(_pairs_in(rest.drop("_salt"), ["bucket"], t).select("a", "b"))  # exact, whatever is left
+    add(_forests(rest, t, salts))  # exact, whatever is left
     return edges
 
 
@@ -195,11 +251,31 @@ def near_duplicate_pairs(images: DataFrame, t: int = vocab.HASH_DISTANCE) -> Dat
     return close_pairs(reps, t).unionByName(copies)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+HUB_EDGES = 100_000
+
+
+def with_least(edges: DataFrame, at_most: int, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """Edges (u, v), ``at_most`` of them, with ``m``, the least v of their u.
+
+    The edges of a hub, a u with more than ``hub_edges`` of them, are dealt in parts of about that many, each of which gets the
+    hub's minimum. At most 65,536 nodes count as hubs, so their list can be sent to all tasks.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))  # combined before the shuffle
+    if at_most <= hub_edges:  # no node can have more
+        return edges.join(low.select("u", "m"), "u")
+    limit = max(hub_edges, at_most >> 16)
+    hubs = F.broadcast(low.where(F.col("n") > limit).select("u", F.ceil(F.col("n") / limit).alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)
+    dealt = edges.join(hubs, "u", "left").select("u", "v", part.alias("part"))
+    return dealt.join(low.join(hubs, "u", "left").select("u", "m", F.explode(every).alias("part")).hint("merge"), ["u", "part"])
+
+
+def connected_components(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
     Alternates the large-star and small-star steps until no edge changes. Each round is written to the
-    checkpoint folder, so lost executors do not replay the earlier ones.
+    checkpoint folder, so lost executors do not replay the earlier ones. Hubs: see :func:`with_least`.
     """
     def tidy(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
@@ -215,12 +291,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = mark(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = tidy(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
+        up = with_least(both, 2 * seen.n, hub_edges).where(F.col("v") > F.col("u"))
+        large = tidy(up.select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
+        large = cut_lineage(large) if 2 * seen.n > hub_edges else large
+        down = with_least(large, 2 * seen.n, hub_edges)
+        small = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")).distinct())
         current = cut_lineage(tidy(small))
         now = mark(current)
         if now == seen:

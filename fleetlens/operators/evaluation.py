@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,34 +16,65 @@ from fleetlens.session import cut_lineage
 BOX = ["ymin", "xmin", "ymax", "xmax"]
 
 
-def match_detections(predicted: DataFrame, gold: DataFrame, iou: float = 0.5) -> DataFrame:
+GROUP_PAIRS = 1_000_000  # pairs of an image and model that one task goes through in order
+ROUNDS = 8
+
+
+def _first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order of image, model and choice -> those whose two boxes are both still free. Holds one image's boxes at a time."""
+    group, used, taken = None, set(), set()
+    for batch in batches:
+        keep = []
+        image, model, det, gold = (batch.column(c).to_pylist() for c in ("image_id", "model", "det_id", "gold_id"))
+        for i, key in enumerate(zip(image, model)):
+            if key != group:
+                group, used, taken = key, set(), set()
+            if det[i] not in used and gold[i] not in taken:
+                used.add(det[i])
+                taken.add(gold[i])
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _mutual_first(pairs: DataFrame) -> DataFrame:
+    """Pairs that are first in the order of choice among all pairs of both their ends: one by one they would be taken too."""
+    ends, gold_ends = ["image_id", "model", "det_id"], ["image_id", "model", "gold_id"]
+    by_prediction = pairs.groupBy(*ends).agg(F.min(F.struct("prio", "label", "iou")).alias("f")).select(
+        *ends, F.col("f.prio.g").alias("gold_id"), "f.label", "f.iou"
+    )
+    by_gold = pairs.groupBy(*gold_ends).agg(F.min("prio").alias("f")).select(*gold_ends, F.col("f.p").alias("det_id"))
+    return by_prediction.join(by_gold, [*ends, "gold_id"])
+
+
+def match_detections(predicted: DataFrame, gold: DataFrame, iou: float = 0.5, group_pairs: int = GROUP_PAIRS, rounds: int = ROUNDS) -> DataFrame:
     """One-to-one match of predictions to gold boxes of the same image and label, per model.
 
     Predictions choose in order of confidence (then det_id); each takes its free gold box with the highest
-    IoU (then the smallest id). Every round takes all pairs that are first in that order among the pairs of
-    both their ends, which yields the same matches as going one by one. All grouping is per box.
+    IoU (then the smallest id). The pairs of an image and model are sorted in that order by Spark and gone through once in one
+    task, which holds only the boxes taken. Where they are more than ``group_pairs``, at most ``rounds`` rounds, grouped
+    per box, first take all pairs that nothing before them can prevent; that does not change the result.
     """
     left = complete(predicted).select("image_id", "label", "model", "det_id", "confidence", *BOX)
     right = complete(gold).select("image_id", "label", "det_id", *BOX)
     pairs = overlap_pairs(left, right, ["image_id", "label"], iou)
-    ends = ["image_id", "model", "det_id"]
-    gold_ends = ["image_id", "model", "gold_id"]
+    group, ends, gold_ends = ["image_id", "model"], ["image_id", "model", "det_id"], ["image_id", "model", "gold_id"]
     prio = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("det_id").alias("p"),
                     (-F.col("iou")).alias("i"), F.col("other_det_id").alias("g"))
-    open_pairs = cut_lineage(pairs.select(*ends, F.col("other_det_id").alias("gold_id"), "label", "iou", prio.alias("prio")))
-    out = None
-    while not open_pairs.isEmpty():
-        first = F.min(F.struct("prio", "label", "iou")).alias("f")
-        by_prediction = open_pairs.groupBy(*ends).agg(first).select(*ends, F.col("f.prio.g").alias("gold_id"), "f.label", "f.iou")
-        by_gold = open_pairs.groupBy(*gold_ends).agg(F.min("prio").alias("f")).select(*gold_ends, F.col("f.p").alias("det_id"))
-        taken = cut_lineage(by_prediction.join(by_gold, [*ends, "gold_id"]))
-        out = taken if out is None else out.unionByName(taken)
-        open_pairs = cut_lineage(
-            open_pairs.join(taken.select(*ends), ends, "left_anti").join(taken.select(*gold_ends), gold_ends, "left_anti")
-        )
-    if out is None:
-        out = open_pairs.select(*ends, "gold_id", "label", "iou")
-    return out.select("image_id", "model", "label", "det_id", "gold_id", "iou")
+    columns = [*ends, "gold_id", "label", "iou"]
+    rest = cut_lineage(pairs.select(*ends, F.col("other_det_id").alias("gold_id"), "label", "iou", prio.alias("prio")))
+    large = cut_lineage(rest.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > group_pairs).drop("n"))
+    taken = []
+    if not large.isEmpty():
+        open_pairs, rest = cut_lineage(rest.join(large, group)), rest.join(large, group, "left_anti")
+        for _ in range(rounds):
+            taken.append(cut_lineage(_mutual_first(open_pairs).select(*columns)))
+            open_pairs = cut_lineage(
+                open_pairs.join(taken[-1].select(*ends), ends, "left_anti").join(taken[-1].select(*gold_ends), gold_ends, "left_anti")
+            )
+        rest = rest.unionByName(open_pairs.select(rest.columns))
+    ordered = rest.repartition(*group).sortWithinPartitions(*group, "prio").select(*columns)
+    fitted = ordered.mapInArrow(_first_fit, ordered.schema)
+    return reduce(DataFrame.unionByName, taken, fitted).select("image_id", "model", "label", "det_id", "gold_id", "iou")
 
 
 def model_labels(predicted: DataFrame, n_gold: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def _phash(gray: np.ndarray) -> str:
     h, w = gray.shape
     small = _overlaps(h, DCT_SIDE) @ gray @ _overlaps(w, DCT_SIDE).T
     c = _cosines(DCT_SIDE)
-    low = (c @ small @ c.T)[:HASH_SIDE, :HASH_SIDE]
+    # rounded, so that coefficients that are equal in exact numbers stay equal whatever the order of the sums
+    low = np.round((c @ small @ c.T)[:HASH_SIDE, :HASH_SIDE], 6)
     return np.packbits(low > np.median(low)).tobytes().hex()
 
 
@@ -70,13 +71,16 @@ def _one(row) -> dict:
     try:
         if row.width <= 0 or row.height <= 0:
             return {**out, "error": "image_read_failed"}
-        pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.channels).astype(float)
-        bgr = np.repeat(pixels, 3, axis=-1) if row.channels == 1 else pixels[..., :3]
-        gray = _gray(bgr)
+        pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.channels)
+        if row.channels == 1:  # the weights add up to one, and gray has no saturation
+            gray, saturation = pixels[..., 0].astype(float), 0.0
+        else:
+            bgr = pixels[..., :3].astype(float)
+            gray, saturation = _gray(bgr), float(_saturation(bgr).mean())
         return {
             **out, "width": row.width, "height": row.height, "aspect_ratio": round(row.width / row.height, 3),
             "sharpness": round(_laplacian_variance(gray), 1), "brightness": round(float(gray.mean()), 1),
-            "contrast": round(float(gray.std()), 1), "saturation": round(float(_saturation(bgr).mean()), 1),
+            "contrast": round(float(gray.std()), 1), "saturation": round(saturation, 1),
             "overexp_pct": round(float((gray > 240).mean()) * 100, 2),
             "underexp_pct": round(float((gray < 15).mean()) * 100, 2), "phash": _phash(gray),
         }
@@ -84,18 +88,28 @@ def _one(row) -> dict:
         return {**out, "error": str(problem)[:200]}
 
 
-def image_metrics(images: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: Column, per_core: int = 2) -> DataFrame:
+    """Rows dealt anew where there are fewer tasks than cores, so that a costly step per row does not wait for a few files."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores * per_core, key)
+
+
+BATCH_BYTES = 64 << 20  # decoded pixels that are handed to Python at once; a larger picture comes alone
+
+
+def image_metrics(images: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Quality metrics per image.
 
     ``images`` holds the ``image`` column of Spark's image source (decoded BGR bytes) and may hold
-    ``file_size``. An unreadable image gives a row with ``error``; the others go on.
+    ``file_size``. An unreadable image gives a row with ``error``; the others go on. A task holds
+    ``batch_bytes`` of pixels, or one picture, and works on one picture at a time.
     """
     size = F.col("file_size") if "file_size" in images.columns else F.lit(None).cast("bigint")
     flat = images.select(
         F.col("image.origin").alias("path"), size.alias("file_size"), F.col("image.width").alias("width"),
         F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
-
     columns = [part.strip().split()[0] for part in METRICS.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +118,7 @@ def image_metrics(images: DataFrame) -> DataFrame:
             text = dict.fromkeys(["path", "phash", "error"], object)
             yield rows.astype({"width": "Int32", "height": "Int32", "file_size": "Int64", **text})
 
-    return flat.mapInPandas(run, METRICS)
+    return spread(flat, F.xxhash64("path")).mapInPandas(run, METRICS)
 
 
 def with_names(metrics: DataFrame) -> DataFrame:
@@ -120,6 +134,15 @@ def split_errors(metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
     return metrics.where(F.col("error").isNull()), metrics.where(F.col("error").isNotNull())
 
 
+def decode_errors(images: DataFrame) -> DataFrame:
+    """(path, error) per image: ``error`` is null where the metrics could be computed, without computing them."""
+    i = F.col("image")
+    side = F.greatest(i["width"], F.lit(0)).cast("long") * F.greatest(i["height"], F.lit(0))
+    whole = (side > 0) & (F.octet_length(i["data"]) == side * i["nChannels"]) & ((i["nChannels"] == 1) | (i["nChannels"] >= 3))
+    error = F.when(F.coalesce(side, F.lit(0)) <= 0, "image_read_failed").when(~F.coalesce(whole, F.lit(False)), "pixels_do_not_fit")
+    return images.select(i["origin"].alias("path"), error.alias("error"))
+
+
 def error_counts(metrics: DataFrame) -> DataFrame:
     return metrics.agg(
         F.count("*").alias("n_images"), F.count_if(F.col("error").isNull()).alias("n_ok"),

@@ -51,7 +51,24 @@ def _(t):
     return I.with_names(I.split_errors(I.image_metrics(pictures(t)))[0]).drop("phash", "error")
 
 
-@query("i02_perceptual_hash")
+# The hash from sums over pixels: area weights of each height, cosines, and bits above the median.
+relation("r_cosines", """
+SELECT CAST(k AS INT) AS k, CAST(i AS INT) AS i, cos(pi() * k * (2 * i + 1) / 128) AS x FROM range(16) a(k), range(64) b(i)""")
+relation("r_heights", "SELECT DISTINCT h FROM r_bytes UNION SELECT 16")
+relation("r_resize", """
+SELECT h, k, r, sum(x * part) * 64 / h AS x FROM (
+  SELECT h, CAST(r AS INT) AS r, i, least((i + 1) * CAST(h AS DOUBLE) / 64, r + 1) - greatest(i * CAST(h AS DOUBLE) / 64, r) AS part
+  FROM (SELECT h, i, unnest(range(CAST(floor(i * h / 64) AS BIGINT), least(CAST(ceil((i + 1) * h / 64) AS BIGINT), h))) AS r FROM r_heights, range(64) t(i)) s) o
+JOIN r_cosines USING (i) WHERE part > 1e-12 GROUP BY h, k, r""")
+relation("r_rows", "SELECT doc_id, source, b.h, b.r, w.k AS l, sum(v * x) AS x FROM r_bytes b JOIN (SELECT k, r AS c, x FROM r_resize WHERE h = 16) w ON b.c = w.c GROUP BY ALL")
+relation("r_low", "SELECT doc_id, source, w.k, l, round(sum(g.x * w.x), 6) AS x FROM r_rows g JOIN r_resize w ON g.h = w.h AND g.r = w.r GROUP BY ALL")
+
+
+@query("i02_perceptual_hash", """
+SELECT concat('file:/photos/', source, '/', doc_id, '_0.jpg') AS path, string_agg(digit, '' ORDER BY place) AS phash FROM (
+  SELECT doc_id, source, (k * 16 + l) // 4 AS place, substr('0123456789abcdef', CAST(1 + sum(CASE WHEN x > mid THEN 1 << CAST(3 - l % 4 AS INT) ELSE 0 END) AS INT), 1) AS digit
+  FROM (SELECT *, median(x) OVER (PARTITION BY doc_id) AS mid FROM r_low) b GROUP BY ALL) d
+GROUP BY doc_id, source""")
 def _(t):
     return I.split_errors(I.image_metrics(pictures(t)))[0].select("path", "phash")
 
@@ -59,7 +76,7 @@ def _(t):
 @query("i03_decode_errors", """
 SELECT count(*) AS n_images, count_if(doc_id % 13 <> 0) AS n_ok, count_if(doc_id % 13 = 0) AS n_errors FROM documents""")
 def _(t):
-    return I.error_counts(I.image_metrics(pictures(t)))
+    return I.error_counts(I.decode_errors(pictures(t)))
 
 
 @query("i04_dimensions", """

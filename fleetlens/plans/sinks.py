@@ -1,5 +1,7 @@
 """Sinks and export formats."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from fleetlens.operators import store
@@ -82,17 +84,24 @@ def _(t):
 
 
 @query("k05_build_tables", """
-SELECT CONCAT('M_', substr(plate_original, 3)) AS plate_safe, damage_id, type, master_class, part, side, severity, projection, segment FROM (
+WITH chosen AS (SELECT * FROM r_cars WHERE car_score >= 40)
+SELECT 'cars' AS relation, plate_safe, plate_original, car_score, n_unique_views, n_damages, array_to_string(damage_classes, ',') AS damage_classes FROM chosen
+UNION ALL BY NAME
+SELECT 'images' AS relation, image_id, plate AS plate_safe, view, width, height, quality_score, CAST(len(reasons) > 0 AS INT) AS is_hard_fail FROM r_scored WHERE plate IN (SELECT plate_safe FROM chosen)
+UNION ALL BY NAME
+SELECT 'db_damages' AS relation, CONCAT('M_', substr(plate_original, 3)) AS plate_safe, damage_id, type, master_class, part, side, severity, projection, segment FROM (
   SELECT plate_original, damage_id, type, """ + X.CLASS_CASE + """ AS master_class, coalesce(nullif(part_local, ''), part) AS part, side,
     coalesce(nullif(severity_local, ''), severity) AS severity, CASE WHEN n_coords > 0 THEN concat('P', i) END AS projection, CASE WHEN n_coords > 0 THEN 'S' END AS segment
   FROM v_damages, range(1, 3) r(i) WHERE i <= greatest(n_coords, 1)) s
-WHERE plate_original IN (SELECT plate_original FROM r_cars WHERE car_score >= 40)""")
+WHERE plate_original IN (SELECT plate_original FROM chosen)""")
 def _(t):
+    """The three tables of a first load, as they were written, one below the other."""
     root = scratch_path(t.spark, "store")
     chosen = X.cars(t).where(F.col("car_score") >= 40)
     flat = readers.flatten_register(register_docs(t).withColumn("source_pos", F.lit(0)))
-    sinks.build_tables(t.spark, sinks.store_tables(chosen, X.scored(t), flat), root)
-    return t.spark.read.parquet(f"{root}/db_damages")
+    written = sinks.build_tables(t.spark, sinks.store_tables(chosen, X.scored(t), flat), root)
+    parts = [t.spark.read.parquet(f"{root}/{name}").withColumn("relation", F.lit(name)) for name in written]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @query("k06_checkpoint_append", "SELECT image_id, view FROM v_images")

@@ -133,6 +133,30 @@ SELECT concat('M_', CAST(c_custkey AS STRING)) AS plate_safe, concat('M ', CAST(
 FROM customer
 """
 
+EARLIER_KEY = "concat('TEST_Brand_', CAST(1 + {0} % 6 AS STRING), CAST(1 + {0} % 5 AS STRING))"  # some of these are loaded again, some not
+
+VIEWS["v_held_cars"] = f"""
+SELECT CASE WHEN c_custkey % 4 = 0 THEN {EARLIER_KEY.format("c_custkey")} ELSE concat('M_', CAST(c_custkey AS STRING)) END AS plate_safe,
+  concat('M ', CAST(c_custkey AS STRING)) AS plate_original, CAST(floor(c_acctbal / 10) AS DOUBLE) / CAST(10 AS DOUBLE) AS car_score,
+  c_nationkey % 11 AS n_unique_views, c_custkey % 5 AS n_damages, 'dent' AS damage_classes FROM customer
+"""
+
+VIEWS["v_held_images"] = f"""
+SELECT CASE WHEN image_id % 4 = 0 THEN {EARLIER_KEY.format("image_id")} ELSE plate END AS plate_safe, view, width, height,
+  sharpness AS quality_score, 0 AS is_hard_fail FROM v_images
+"""
+
+VIEWS["v_held_damages"] = f"""
+SELECT CASE WHEN case_id % 4 = 0 THEN {EARLIER_KEY.format("case_id")} ELSE concat('M_', substr(plate_original, 3)) END AS plate_safe, damage_id, type FROM v_damages
+"""
+
+VIEWS["v_scan_events"] = """
+SELECT user_id AS session_id, CAST(event_id % 14 AS INT) - 1 AS view_idx, ts AS captured_at, event_id AS seq,
+  CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finalize' WHEN 'error' THEN 'remove' ELSE 'photo' END AS kind,
+  CAST(floor(value) AS BIGINT) % 10 AS n_damages
+FROM events
+"""
+
 VIEWS["v_annotations"] = """
 SELECT det_id AS id, image_id, source, label, xmin / CAST(1000 AS DOUBLE) AS x, ymin / CAST(1000 AS DOUBLE) AS y,
   (xmax - xmin) / CAST(1000 AS DOUBLE) AS w, (ymax - ymin) / CAST(1000 AS DOUBLE) AS h,

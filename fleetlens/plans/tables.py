@@ -8,8 +8,8 @@ from fleetlens.plans.registry import query
 from fleetlens.plans.sources import brand_files
 from fleetlens.plans.standins import VIEWS, Tables
 from fleetlens.session import scratch_path
-from fleetlens.sources import sinks
-from fleetlens.streaming import scans
+from fleetlens.sources.versions import VersionedTables, replace_cars
+from fleetlens.streaming import scans, sessions, upserts
 
 
 @query("t04_upsert_predictions", """
@@ -47,18 +47,30 @@ def _(t):
 
 
 @query("t06_replace_test_cars", """
-WITH new AS (SELECT concat('M_', p_partkey) AS plate_safe, 1 AS is_test FROM part WHERE p_partkey % 9 <> 0)
-SELECT plate_safe, view, is_test FROM (SELECT plate AS plate_safe, view, 0 AS is_test FROM v_images WHERE plate NOT IN (SELECT plate_safe FROM new)
-UNION ALL SELECT plate_safe, concat('TEST_', substr(plate_safe, 3)) AS view, 1 FROM new) s""")
+WITH p AS (SELECT concat('TEST_', replace(p_brand, '#', '_')) AS plate_safe, concat('TEST · ', replace(p_brand, '#', '_')) AS plate_original, p_partkey FROM part WHERE p_partkey % 9 <> 0)
+SELECT 'cars' AS relation, plate_safe, plate_original AS item, car_score AS score, n_unique_views AS n, 0 AS is_test FROM v_held_cars WHERE plate_safe NOT IN (SELECT plate_safe FROM p)
+UNION ALL SELECT 'cars', plate_safe, plate_original, 100, count(*), 1 FROM p GROUP BY ALL
+UNION ALL SELECT 'images', plate_safe, view, quality_score, 0, NULL FROM v_held_images WHERE plate_safe NOT IN (SELECT plate_safe FROM p)
+UNION ALL SELECT 'images', plate_safe, concat('TEST_', p_partkey), 100, 0, NULL FROM p
+UNION ALL SELECT 'db_damages', plate_safe, damage_id, NULL, 0, NULL FROM v_held_damages WHERE plate_safe NOT IN (SELECT plate_safe FROM p)""")
 def _(t):
-    """Test photos replace the images of the same key; the table gains ``is_test``."""
-    root = scratch_path(t.spark, "images")
-    fresh = store.cars_from_test_photos(brand_files(t))[1].select(
-        F.concat(F.lit("M_"), F.substring("view", 6, 20)).alias("plate_safe"), "view", F.lit(1).alias("is_test")
-    )
-    table = t.images.select(F.col("plate").alias("plate_safe"), "view")
-    sinks.replace_partitions(store.replace_keys(table, fresh, "plate_safe", {"is_test": F.lit(0)}), root, "is_test")
-    return t.spark.read.parquet(root)
+    """Test photos replace the cars of the same key in all three tables."""
+    tables = VersionedTables(t.spark, scratch_path(t.spark, "store"))
+    tables.create({
+        "cars": (t.held_cars, "plate_safe"), "images": (t.held_images, "plate_safe"), "db_damages": (t.held_damages, "plate_safe"),
+    })
+    cars, images = store.cars_from_test_photos(brand_files(t))
+    version = replace_cars(tables, cars, images.drop("path"))
+    number = lambda c: F.col(c).cast("long").alias("n")
+    return tables.read("cars", version).select(
+        F.lit("cars").alias("relation"), "plate_safe", F.col("plate_original").alias("item"), F.col("car_score").alias("score"), number("n_unique_views"), "is_test"
+    ).unionByName(tables.read("images", version).select(
+        F.lit("images").alias("relation"), "plate_safe", F.col("view").alias("item"), F.col("quality_score").alias("score"), number("is_hard_fail"),
+        F.lit(None).cast("int").alias("is_test"),
+    )).unionByName(tables.read("db_damages", version).select(
+        F.lit("db_damages").alias("relation"), "plate_safe", F.col("damage_id").alias("item"), F.lit(None).cast("double").alias("score"),
+        F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("is_test"),
+    ))
 
 
 def stream_of(t: Tables, name: str) -> DataFrame:
@@ -95,3 +107,56 @@ SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, captured_at, TIMESTAMP '2000-
 def _(t):
     rows = stream_of(t, "v_photo_events").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
     return scans.drain(t.spark, scans.coverage_windows(rows, "captured_at"), "coverage")
+
+
+WEEK = "least(floor((day(created_at) - 1) / 8), 3)"
+
+
+@query("t04_stream_upsert", f"""
+WITH r AS (SELECT *, {WEEK} AS w FROM v_predictions WHERE NOT failed)
+SELECT image_id, model, created_at, seq, n_damages FROM r QUALIFY row_number() OVER (PARTITION BY image_id, model ORDER BY w, created_at, seq) = 1""")
+def _(t):
+    """Results that arrive week by week: a stored one is a cache hit."""
+    return stream_upserts(t, force=False)
+
+
+@query("t04_stream_upsert_forced", f"""
+WITH r AS (SELECT *, {WEEK} AS w FROM v_predictions WHERE NOT failed)
+SELECT image_id, model, created_at, seq, n_damages FROM r QUALIFY row_number() OVER (PARTITION BY image_id, model ORDER BY w DESC, created_at DESC, seq DESC) = 1""")
+def _(t):
+    return stream_upserts(t, force=True)
+
+
+def stream_upserts(t: Tables, force: bool) -> DataFrame:
+    rows = t.predictions
+    tables = VersionedTables(t.spark, scratch_path(t.spark, "predictions"))
+    tables.create({upserts.TABLE: (rows.drop("failed").where(F.lit(False)), "image_id")})
+    landing, checkpoint = scratch_path(t.spark, "landing"), scratch_path(t.spark, "upserts-log")
+    for week in range(4):
+        rows.where(F.expr(f"{WEEK} = {week}")).write.parquet(f"{landing}/week={week}")
+        stream = t.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(landing)
+        upserts.run_upserts(stream, tables, "results", checkpoint, force)
+    return tables.read(upserts.TABLE)
+
+
+@query("t02_stream_scan_sessions", """
+WITH e AS (SELECT *, lag(kind) OVER w AS before, lag(captured_at) OVER w AS before_at FROM v_scan_events WINDOW w AS (PARTITION BY session_id ORDER BY captured_at, seq)),
+g AS (SELECT *, count_if(before IS NULL OR before = 'finalize' OR kind = 'start' OR captured_at - before_at > INTERVAL 30 MINUTE)
+  OVER (PARTITION BY session_id ORDER BY captured_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part FROM e),
+b AS (SELECT session_id, part, arg_min(kind, (captured_at, seq)) AS first_kind, arg_max(kind, (captured_at, seq)) AS last_kind, min(captured_at) AS started_at,
+  max(captured_at) AS last_at FROM g GROUP BY ALL),
+c AS (SELECT *, lead(first_kind) OVER w AS next_kind, lead(started_at) OVER w AS next_at FROM b WINDOW w AS (PARTITION BY session_id ORDER BY part)),
+s AS (SELECT session_id, part, started_at, CASE WHEN last_kind = 'finalize' THEN 'finalized' WHEN next_kind = 'start' AND next_at - last_at <= INTERVAL 30 MINUTE THEN 'next_start' ELSE 'idle' END AS reason,
+  CASE WHEN last_kind = 'finalize' THEN last_at WHEN next_kind = 'start' AND next_at - last_at <= INTERVAL 30 MINUTE THEN next_at ELSE last_at + INTERVAL 30 MINUTE END AS closed_at
+  FROM c WHERE first_kind <> 'finalize'),
+v AS (SELECT session_id, part, CASE WHEN view_idx BETWEEN 0 AND 11 THEN view_idx ELSE -1 END AS slot, count(*) AS n, arg_max(kind, (captured_at, seq)) = 'remove' AS gone,
+  arg_max(n_damages, (captured_at, seq)) AS found FROM g WHERE kind IN ('photo', 'remove') GROUP BY ALL)
+SELECT s.session_id, started_at, closed_at, reason, coalesce(count_if(NOT gone), 0) AS n_views, coalesce(sum(n), 0)::BIGINT AS n_photos, coalesce(sum(n - 1), 0)::BIGINT AS n_retakes,
+  coalesce(count_if(gone), 0) AS n_removed, coalesce(sum(found) FILTER (WHERE NOT gone), 0)::BIGINT AS n_damages
+FROM s LEFT JOIN v ON s.session_id = v.session_id AND s.part = v.part WHERE closed_at <= (SELECT max(captured_at) - INTERVAL 10 MINUTE FROM v_scan_events)
+GROUP BY s.session_id, s.part, started_at, closed_at, reason""")
+def _(t):
+    """Sessions that end at a finalize, at the next start, or when idle."""
+    events = stream_of(t, "v_scan_events").withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    with sessions.rocksdb_state(t.spark):
+        return scans.drain(t.spark, sessions.scan_sessions(events), "scan-sessions")

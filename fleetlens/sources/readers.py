@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas
 from fleetlens.functions import boxes as B
 from fleetlens.functions import scalars as S
+from fleetlens.sources.json_parts import json_entries
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +16,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_photo_export(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Vehicles of a photo export. A whole-file JSON array is one task per file; exports in one array or
-    object per line (``multi_line=False``) are split."""
-    return spark.read.schema(schemas.PHOTO_EXPORT).json(path, multiLine=multi_line)
+    """Vehicles of a photo export: one JSON array per file, cut at its elements and so read by many tasks, or one array or object
+    per line (``multi_line=False``)."""
+    if not multi_line:
+        return spark.read.schema(schemas.PHOTO_EXPORT).json(path)
+    vehicle = F.from_json("entry", schemas.PHOTO_EXPORT)
+    return json_entries(spark, path).select(vehicle.alias("v")).select("v.*")
 
 
 def flatten_tasks(export: DataFrame) -> DataFrame:
@@ -39,13 +43,15 @@ def flatten_photos(export: DataFrame) -> DataFrame:
 def read_damage_register(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """(plate_original, source_pos, payload) of a register keyed by plate.
 
-    A single JSON object is one record and so one task: convert it once with the Parquet writer and
-    work from there. A register with one keyed object per line is split (``whole_files=False``). ``source_pos`` grows
-    in the order of the source, over lines and within an object.
+    A file is a single JSON object, cut at its keys and so read by many tasks, or has one keyed object per line
+    (``whole_files=False``). ``source_pos`` grows in the order of the source, over files or lines and within an object.
     """
-    text = spark.read.text(path, wholetext=whole_files)
-    parsed = F.from_json("value", f"MAP<STRING, {schemas.REGISTER_PLATE}>")
-    return text.select(F.monotonically_increasing_id().alias("line"), F.posexplode(parsed)).select(
+    kind = f"MAP<STRING, {schemas.REGISTER_PLATE}>"
+    if whole_files:
+        plates = json_entries(spark, path).select(F.col("pos").alias("line"), F.concat(F.lit("{"), "entry", F.lit("}")).alias("value"))
+    else:
+        plates = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    return plates.select("line", F.posexplode(F.from_json("value", kind))).select(
         F.col("key").alias("plate_original"), (F.col("line") + F.col("pos")).alias("source_pos"), F.col("value").alias("payload")
     )
 
@@ -234,13 +240,16 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     is used unless empty, else ``visible_damages``. Adds ``parsed_ok``, ``error`` (``empty_response``, ``parse_error`` or
     null) and ``detections`` (complete boxes only).
     """
-    bare = F.trim(F.regexp_replace(F.trim("raw"), r"(?m)^```(?:json)?\s*|\s*```\s*$", ""))
-    inner = F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)
-    # from_json reads malformed text as a struct of nulls, so what is read must parse as an object first
-    strict = lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x)
-    rows = responses.withColumn("_t", F.coalesce(strict(bare), strict(inner))).withColumn("_p", F.from_json("_t", schemas.RESPONSE))
+    fences = r"(?m)^```(?:json)?\s*|\s*```\s*$"
+    bare = F.trim(F.regexp_replace(F.trim("raw"), fences, ""))
+    # generators are not inlined, so that each text is cleaned, and parsed, once however often the result is used
+    once = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
+    rows = once(responses, F.struct(bare.alias("bare"), F.regexp_extract(bare, r"(\{[\s\S]*\})", 1).alias("inner")), "_t")
+    strict = lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x)
+    rows = once(rows, F.coalesce(strict(F.col("_t.bare")), F.when(F.col("_t.inner") != F.col("_t.bare"), strict(F.col("_t.inner")))), "_j")
+    rows = once(rows, F.from_json("_j", schemas.RESPONSE), "_p")
     some = F.when(F.size("_p.damages") > 0, F.col("_p.damages")).otherwise(F.col("_p.visible_damages"))
-    error = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "empty_response").when(F.col("_t").isNull(), "parse_error")
-    return rows.withColumn("parsed_ok", F.col("_t").isNotNull()).withColumn("error", error).withColumn(
+    error = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "empty_response").when(F.col("_j").isNull(), "parse_error")
+    return rows.withColumn("parsed_ok", F.col("_j").isNotNull()).withColumn("error", error).withColumn(
         "detections", B.valid_boxes(F.coalesce(some, F.array()))
-    ).drop("_p", "_t")
+    ).drop("_p", "_t", "_j")
