@@ -268,7 +268,7 @@ def test_more_shards_score_alike(spark):
 
 def test_hot_words_are_dealt_by_the_word_before():
     chunk = language_model.Chunk(0, [0], np.array([False]), np.array([6]), np.array([2, 3, 2, 4, 2, 0]), np.arange(10, 15).astype(np.uint64))
-    plan = language_model.Plan(3, 1000, 5, 6, np.array([12], dtype=np.uint64), np.array([50]), np.array([3]))
+    plan = language_model.Plan(3, 1000, 5, 6, np.array([12], dtype=np.uint64), np.array([50]), np.array([3]), np.zeros(0, np.uint64), np.zeros(0, np.int32))
     _, shard = language_model.shards_of(chunk, plan)
     by_last = defaultdict(set)
     for s, last in zip(shard.tolist(), [1, 2, 3, 2, 4, 2]):
