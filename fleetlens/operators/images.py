@@ -95,20 +95,19 @@ def spread(df: DataFrame, key: Column, per_core: int = 2) -> DataFrame:
     return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores * per_core, key)
 
 
-BATCH_BYTES = 64 << 20  # decoded pixels that are handed to Python at once; a larger picture comes alone
-
-
-def image_metrics(images: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def image_metrics(images: DataFrame) -> DataFrame:
     """Quality metrics per image.
 
     ``images`` holds the ``image`` column of Spark's image source (decoded BGR bytes) and may hold
-    ``file_size``. An unreadable image gives a row with ``error``; the others go on. A task holds
-    ``batch_bytes`` of pixels, or one picture, and works on one picture at a time.
+    ``file_size``. An unreadable image gives a row with ``error``; the others go on. A task holds the pictures of one Arrow
+    batch (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set otherwise, or one picture) and, for
+    the picture it works on, about 100 bytes per pixel.
     """
     size = F.col("file_size") if "file_size" in images.columns else F.lit(None).cast("bigint")
+    whole = lambda c: F.coalesce(F.col("image." + c), F.lit(-1))  # noqa: E731 - with a null, pandas would make fractions of a batch's numbers
     flat = images.select(
-        F.col("image.origin").alias("path"), size.alias("file_size"), F.col("image.width").alias("width"),
-        F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
+        F.col("image.origin").alias("path"), size.alias("file_size"), whole("width").alias("width"), whole("height").alias("height"),
+        whole("nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
     columns = [part.strip().split()[0] for part in METRICS.split(",")]
 

@@ -187,3 +187,34 @@ def test_sessions_count_photos_of_other_views(spark):
     got = scans.session_photos(photos).orderBy("closed_at").collect()
     counts = [(r.n_photos, r.n_views, r.n_retakes, r.n_removed, r.n_damages) for r in got]
     assert counts == [(7, 3, 3, 1, 64 + 32 + 16), (1, 1, 0, 0, 128)]
+
+
+def test_large_pictures_come_in_batches_of_bounded_size(spark):
+    """300 pictures of 1 MB in one task reach Python in batches of at most 64 MB and one picture."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], ["bytes", "n"])
+
+    pictures = spark.range(0, 300, 1, 1).select(F.struct(
+        F.col("id").cast("string").alias("origin"), F.lit(1024).alias("height"), F.lit(1024).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"),
+        F.rpad(F.unhex(F.lit("07")), 1 << 20, F.unhex(F.lit("07"))).alias("data"),
+    ).alias("image"))
+    got = pictures.select("image.data").mapInArrow(sizes, "bytes long, n long").collect()
+    assert sum(r.n for r in got) == 300 and max(r.bytes for r in got) <= (64 << 20) + (1 << 20) + 4096
+    dealt = I.spread(pictures, F.xxhash64("image.origin"))
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() >= 8  # more tasks than the one it came in
+    assert I.spread(dealt, F.xxhash64("image.origin")) is dealt
+    metrics = I.image_metrics(pictures.limit(20)).select("brightness", "contrast", "saturation", "error").distinct().collect()
+    assert [tuple(r) for r in metrics] == [(7.0, 0.0, 0.0, None)]
+
+
+def test_decode_errors_agree_with_the_metrics(spark):
+    image = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    rows = [("a", 2, 3, 1, 0, bytes(6)), ("b", 2, 3, 3, 16, bytes(18)), ("c", 2, 3, 3, 16, bytes(17)), ("d", -1, -1, -1, -1, b""), ("e", 0, 4, 1, 0, b""),
+            ("f", 2, 2, 4, 24, bytes(16)), ("g", 2, 2, 1, 0, None), ("h", 2, 2, 2, 0, bytes(8)), (None, 1, 1, 1, 0, b"x"), ("i", None, 3, 1, 0, bytes(3))]
+    images = spark.createDataFrame([(r,) for r in rows], f"image {image}")
+    whole = lambda df: {r.path for r in df.collect() if r.error is None}
+    assert whole(I.decode_errors(images)) == whole(I.image_metrics(images)) == {"a", "b", "f", None}
+    assert I.error_counts(I.decode_errors(images)).first()[:] == (10, 4, 6)
