@@ -5,6 +5,7 @@ unchanged. All pieces of a block of items are searched at once (Aho-Corasick), a
 verified by Myers' bit-parallel edit distance.
 """
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -20,7 +21,7 @@ by_value(__name__)
 
 BLOCK_BYTES = 8 << 20  # of test items that one pass over the documents searches
 CHARS_PER_EDIT = 20  # one edit of budget for so many characters
-SHORT = 30  # a shorter item only matches a document that is nothing else
+SHORT = 30  # a shorter item must occur unchanged, as whole words
 
 
 def normalised(text: str | None) -> str:
@@ -80,10 +81,14 @@ class Searcher:
         for item_id, text in block:
             if (item := normalised(text)) and (item not in items or item_id < items[item]):
                 items[item] = item_id
-        self.whole = {item: item_id for item, item_id in items.items() if len(item) < short}
-        self.known = [(item, item_id, len(item) // chars_per_edit, {}) for item, item_id in items.items() if len(item) >= short]
+        # one short word would be found anywhere: it must be the whole document
+        self.whole = {item: item_id for item, item_id in items.items() if len(item) < short and " " not in item}
+        self.known = [
+            (item, item_id, len(item) // chars_per_edit if len(item) >= short else 0, {}, len(item) < short)
+            for item, item_id in items.items() if item not in self.whole
+        ]
         found = defaultdict(list)
-        for n, (item, _, budget, _) in enumerate(self.known):
+        for n, (item, _, budget, _, _) in enumerate(self.known):
             for offset, piece in cut(item, budget):
                 found[piece].append((n, offset))
         self.automaton = ahocorasick.Automaton() if found else None
@@ -97,7 +102,7 @@ class Searcher:
         near: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(doc) if self.automaton and doc else ():
             for n, offset in places:
-                item, _, budget, _ = self.known[n]
+                item, _, budget, _, _ = self.known[n]
                 start = end + 1 - size - offset
                 window = max(0, start - budget), start + len(item) + budget
                 held = near.setdefault(n, [])
@@ -113,7 +118,11 @@ class Searcher:
         if doc in self.whole:
             yield self.whole[doc], 0, len(doc)
         for n, windows in self.near(doc).items():
-            item, item_id, budget, masks = self.known[n]
+            item, item_id, budget, masks, short = self.known[n]
+            if short:
+                if alone := re.search(rf"(?<!\w){re.escape(item)}(?!\w)", doc):
+                    yield item_id, 0, alone.end()
+                continue
             if (at := doc.find(item)) >= 0:
                 yield item_id, 0, at + len(item)
                 continue
@@ -144,9 +153,16 @@ def searcher(block, chars_per_edit: int, short: int):
     return run
 
 
+def normalised_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(t.as_py()) for t in batch.column(1)], pa.string())], ["item_id", "text"])
+
+
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
-    """Broadcasts of (item_id, text) lists of about ``block_bytes``, equal texts once by their smallest id."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
+    """Broadcasts of (item_id, text) lists of about ``block_bytes``. Items whose normalised texts are equal are one, by their
+    smallest id, before blocks are cut, so that no result hangs on the size of a block."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = items.mapInArrow(normalised_items, "item_id long, text string").where("text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))
     for b in range(n_blocks):
@@ -162,10 +178,10 @@ def contaminated(
 
     Both sides are lower-cased with white space collapsed. An item of m characters is held if it occurs with at most
     m / ``chars_per_edit`` edits (insert, delete, replace one character); ``edits`` is the least, ``end`` where the first such
-    occurrence ends in the normalised text. Items below ``short`` characters would be found anywhere and match only
-    a document equal to them. Null or empty texts hold nothing; null or empty items are never held; of items with equal
-    text the smallest item_id is given (items that differ in case or white space only may each be given, if they
-    fall into different blocks), and items without id are left out. Repeated documents give a row each.
+    occurrence ends in the normalised text. Items below ``short`` characters must occur unchanged, with no letter, digit or
+    underscore right before or behind them, and one of a single word must be the whole document. Null or empty texts hold
+    nothing; null or empty items are never held; of items with equal normalised texts the smallest item_id is given, and
+    items without id are left out. Repeated documents give a row each. Texts of any length are searched whole, one at a time.
     Empty tables give no rows. Other columns are not read.
 
     ``benchmark`` (item_id, text) is taken in blocks of about ``block_bytes``, one pass over the documents each;
