@@ -93,30 +93,55 @@ def unpacked(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[dict]:
+def header_of(line: str, fields: list[str]) -> dict | None:
+    """The fields of an ARC header line; None if it is not one."""
+    values = line.rsplit(" ", len(fields) - 1)  # a URL may hold spaces
+    if len(values) != len(fields) or not values[-1].isdigit():
+        return None
+    row = dict(zip((f.lower() for f in fields), values))
+    date = row.get("archive-date", "")
+    return row if values[0] and date.isdigit() and 8 <= len(date) <= 14 else None
+
+
+def arc_records(data: bytes, rejects: list[tuple[int, str]] | None = None) -> Iterator[dict]:
     """The records after the version block. The block's field line says which fields header lines have; the
-    declared length says where content ends. A header line that does not fit ends the archive."""
+    declared length says where content ends.
+
+    Where a header line should be and none is, reading goes on at the next line that is one; a record whose declared length
+    passes the end of the file is left out. Both, and a file without a version block, are noted in ``rejects`` as (offset, reason).
+    """
     at, fields, name = 0, None, ""
+    note = (lambda *r: None) if rejects is None else (lambda *r: rejects.append(r))
+    lost = False  # between a bad line and the next header
     while True:
-        while data[at:at + 1] == b"\n":
+        while data[at:at + 1] in (b"\n", b"\r"):
             at += 1
         end = data.find(b"\n", at)
         if end < 0:
+            if at < len(data) and not lost:
+                note(at, "no header" if fields else "no version block")
             return
         line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         if fields is None:
             parts = line.split(" ")
             if not line.startswith("filedesc://") or not parts[-1].isdigit():
+                note(at, "no version block")
                 return
             block = data[end + 1:end + 1 + int(parts[-1])].decode("utf-8", "replace").split("\n")
             fields = block[1].strip().split(" ") if len(block) > 1 and block[1].strip() else ARC_FIELDS[int(block[0][:1] or 1)].split(" ")
             name, at = parts[0].removeprefix("filedesc://"), end + 1 + int(parts[-1])
             continue
-        values = line.rsplit(" ", len(fields) - 1)  # a URL may hold spaces
-        if len(values) != len(fields) or not values[-1].isdigit():
-            return
-        row = dict(zip((f.lower() for f in fields), values))
-        length = int(values[-1])
+        row = header_of(line, fields)
+        if row is None:
+            if not lost:
+                note(at, "no header")
+            at, lost = end + 1, True
+            continue
+        lost, length = False, int(line.rsplit(" ", 1)[1])
+        if end + 1 + length > len(data):
+            note(at, "cut short")
+            at, lost = end + 1, True
+            continue
         row |= {"content": data[end + 1:end + 1 + length], "archive": name, "offset": at}
         at = end + 1 + length
         yield row
@@ -261,6 +286,23 @@ def convert_arc(spark, arc: str, warc: str, revisit_from: int = REVISIT_FROM) ->
     write_archive(joined.mapInArrow(arc_to_warc, "record binary"), warc, "\r\n\r\n")
 
 
+def arc_rejects(spark, arc: str) -> DataFrame:
+    """(path, offset, reason): what the ARC files below ``arc`` hold that is no whole record; see :func:`arc_records`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for path, raw in zip(*batch.columns):
+                    found: list[tuple[int, str]] = []
+                    for _ in arc_records(unpacked(raw.as_py()), found):
+                        pass
+                    yield from ((path.as_py(), *r) for r in found)
+
+        return flushed(rows(), ["path", "offset", "reason"], [pa.string(), pa.int64(), pa.string()], lambda r: 256)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc)
+    return files.select("path", "content").mapInArrow(run, "path string, offset long, reason string")
+
+
 def read_warc(spark, warc: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(warc)
     return files.select("content").mapInArrow(

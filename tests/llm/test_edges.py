@@ -217,3 +217,47 @@ def test_items_without_id_are_cleaned(spark):
     docs = spark.createDataFrame([(1, f"before {item} after"), (2, "something else"), (3, None)], "doc_id long, text string")
     benchmark = spark.createDataFrame([(None, item), (4, None)], "item_id long, text string")
     assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, benchmark).collect()) == [2, 3]
+
+
+def test_short_items_and_blocks(spark, empty):
+    """Short items as whole words; the ids that come out do not hang on the size of a block."""
+    spellings = ["Three  spellings of one and the same item", "three spellings OF one and the same item", " three spellings of one and the same\titem "]
+    bench = spark.createDataFrame([*enumerate(spellings, 1), (4, "forty two"), (5, "yes"), (6, "a b c d e f g")], "item_id long, text string")
+    rows = [(1, "so " + spellings[0] + " here"), (2, "the answer: Forty\ntwo."), (3, "forty twos"), (4, "yes of course"), (5, " YES "), (6, "a_b c d e f g"), (7, "x a b c d e f g"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, 1, 0), (2, 4, 0), (5, 5, 0), (7, 6, 0)]
+    for size in (20, 40, 1 << 20):
+        assert sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs, bench, block_bytes=size).collect()) == want
+        assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench, block_bytes=size).collect()) == [3, 4, 6, 8]
+
+
+def test_damaged_archives(spark, tmp_path):
+    first = f"1 0 x\n{warc.ARC_FIELDS[1]}\n".encode()
+    head = lambda name: f"filedesc://{name}.arc 0.0.0.0 20010203040506 text/plain {len(first)}\n".encode() + first
+    good = lambda i, body: f"http://a/{i} 1.2.3.4 20010203040506 text/html {len(body)}\n".encode() + body + b"\n"
+    records = [good(i, b"body %d" % i * 50) for i in range(3)]
+    cases = {
+        "whole": (b"".join(records), [0, 1, 2], []), "bad_line": (records[0] + b"what is this 12 x\nand this\n" + records[1] + records[2], [0, 1, 2], ["no header"]),
+        "wrong_length": (records[0].replace(b"html 300", b"html 290") + records[1] + records[2], [0, 1, 2], ["no header"]),
+        "cut": (records[0] + records[1] + records[2][:-30], [0, 1], ["cut short"]), "tail": (records[0] + b"trailing", [0], ["no header"]),
+    }
+    for name, (data, urls, reasons) in cases.items():
+        found = []
+        assert [int(r["url"][-1]) for r in warc.arc_records(head(name) + data, found)] == urls, name
+        assert [r for _, r in found] == reasons, name
+        (tmp_path / f"part-{name}").write_bytes(head(name) + data)
+    (tmp_path / "part-none").write_bytes(b"no archive\n")
+    rejects = warc.arc_rejects(spark, str(tmp_path)).collect()
+    assert sorted(r.reason for r in rejects) == ["cut short", "no header", "no header", "no header", "no version block"]
+    warc.convert_arc(spark, str(tmp_path), str(tmp_path / "out"))
+    back = warc.read_warc(spark, str(tmp_path / "out")).collect()
+    assert len(back) == 12 and sum(r.record_type == "revisit" for r in back) == 12 - 4
+
+
+def test_very_long_payload(spark):
+    body = "<p>" + "long " * 2_000_000
+    pages = spark.createDataFrame([(1, "http://a/", body), (2, "http://b/", body), (3, "http://c/", body + "x")], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.archived(pages).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    n = len(body)
+    assert got == [(1, n, sha(body), "response", None), (2, n, sha(body), "revisit", 1), (3, n + 1, sha(body + "x"), "response", None)]
