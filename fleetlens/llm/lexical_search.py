@@ -135,6 +135,13 @@ def index_builder(n_docs: int, n_terms: int, shard_bytes: int):
     return run
 
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> n_docs (with a term), n_terms."""
+    for batch in batches:
+        found = [len((text.as_py() or "").encode().translate(FOLD).split()) for text in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in found)], pa.int64()), pa.array([sum(found)], pa.int64())], ["n_docs", "n_terms"])
+
+
 @dataclass
 class Index:
     rows: DataFrame
@@ -143,9 +150,8 @@ class Index:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Index:
     """The index of all rows of ``docs``, written to the shared folder; ids are integers."""
-    totals = docs.select(F.regexp_count(F.col(text_col), F.lit(TERM)).cast("long").alias("n")).agg(
-        F.count_if(F.col("n") > 0).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_terms")
-    ).first()
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(term_counts, "n_docs long, n_terms long")
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_terms"))).first()
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         index_builder(totals.n_docs, max(1, totals.n_terms), shard_bytes), ROW
     )
