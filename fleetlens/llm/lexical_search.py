@@ -282,9 +282,9 @@ def search_block(index: Index, terms: DataFrame, k: int) -> DataFrame:
     queries = [(q, [(n, weight[n]) for n in own if weight.get(n, 0) > 0]) for q, own in asked.items()]
     columns = ["shard", "n", "ends", "peaks", "cuts", "data", "ids", "lengths"]
     heads = index.rows.where("term IS NULL").withColumn("n", F.lit(None).cast("long"))
-    best = hits.select(columns).unionByName(heads.select(columns)).groupBy("shard").applyInArrow(
-        shard_searcher(queries, k), "q long, doc_id long, score long"
-    )
+    # the work of a shard is in its search, not in its bytes, so that shards are not packed into a few tasks
+    rows = hits.select(columns).unionByName(heads.select(columns)).repartition(max(1, heads.count()), "shard")
+    best = rows.groupBy("shard").applyInArrow(shard_searcher(queries, k), "q long, doc_id long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
