@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import ascii_lower, by_value, stored, words
 from fleetlens.llm.suffix_dedup import BASE, mixed
-from fleetlens.session import cut_lineage
+from fleetlens.operators.dedup import connected_components
 
 by_value(__name__)
 
@@ -298,31 +298,8 @@ def close_links(points: DataFrame, tau: int, bucket_rows: int = BUCKET_ROWS) ->
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (u, v); the component is its smallest node.
-
-    Large-star and small-star rounds until no link changes; every round is written to the checkpoint folder.
-    """
-    def tidy(df: DataFrame) -> DataFrame:
-        return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    now = cut_lineage(tidy(links))
-    seen = mark(now)
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = tidy(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut_lineage(tidy(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )))
-        if (mark_now := mark(now)) == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = mark_now
+    """(node, component) for every node of ``links`` (u, v); the component is its smallest node. Links of a hub are dealt in parts."""
+    return connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, tau: int = 3) -> DataFrame:
