@@ -150,9 +150,9 @@ def model_agreement(detections: DataFrame, iou: float = 0.5) -> DataFrame:
     """For every ordered pair of models: the share of the first one's boxes that the second one overlaps; 0 if none."""
     rows = complete(detections).select("image_id", "model", "det_id", *BOX)
     pairs = overlap_pairs(rows, rows, ["image_id"], iou, F.col("model") != F.col("other_model"))
-    met = pairs.select("image_id", "model", "det_id", "other_model").distinct().groupBy("model", "other_model").agg(
-        F.count("*").alias("n_met")
-    )
+    # a box meets few models, however many of their boxes
+    others = pairs.groupBy("image_id", "model", "det_id").agg(F.collect_set("other_model").alias("others"))
+    met = others.select("model", F.explode("others").alias("other_model")).groupBy("model", "other_model").agg(F.count("*").alias("n_met"))
     size = rows.groupBy("model").agg(F.count("*").alias("n_boxes"))
     others = size.agg(F.collect_set("model").alias("_others"))
     pairs_of = size.crossJoin(F.broadcast(others)).select("model", "n_boxes", F.explode("_others").alias("other_model"))  # one row
