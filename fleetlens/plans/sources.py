@@ -8,7 +8,7 @@ from fleetlens.operators import store
 from fleetlens.plans.registry import query, relation
 from fleetlens.plans.standins import VIEWS, Tables
 from fleetlens.session import scratch_path
-from fleetlens.sources import readers
+from fleetlens.sources import readers, sinks
 
 relation("r_export_tasks", """
 SELECT plate_original, CAST(image_id AS VARCHAR) AS task_id,
@@ -101,19 +101,40 @@ def _(t):
     return readers.flatten_photos(readers.read_photo_export(t.spark, path, multi_line=False))
 
 
+@query("s02_read_whole_export", "SELECT * FROM r_export_photos")
+def _(t):
+    """Exports as they come: one JSON array per file."""
+    path = scratch_path(t.spark, "whole-export")
+    sinks.write_json_documents(export_docs(t).select(F.to_json(F.struct("license_plate", "tasks"))), path)
+    return readers.flatten_photos(readers.read_photo_export(t.spark, path))
+
+
 @query("s03_read_damage_register", """
 SELECT plate_original, CAST(case_id AS VARCHAR) AS case_id, case_ts, damage_id, type, grp, side, part, part_local, severity, severity_local, n_coords FROM v_damages""")
 def _(t):
     path = scratch_path(t.spark, "register")
     line = F.to_json(F.create_map("plate_original", "payload"))
     register_docs(t).select(line.alias("value")).write.text(path)
-    flat = readers.flatten_register(readers.read_damage_register(t.spark, path, whole_files=False))
-    return flat.select(
+    return flat_register(readers.read_damage_register(t.spark, path, whole_files=False))
+
+
+def flat_register(register: DataFrame) -> DataFrame:
+    return readers.flatten_register(register).select(
         "plate_original", "case_id", "case_ts", "damage_id", "type", "grp", "side", "part", "part_local", "severity",
         "severity_local", F.size("coordinates").alias("n_coords"),
     )
 
 
+@query("s03_read_whole_register", """
+SELECT plate_original, CAST(case_id AS VARCHAR) AS case_id, case_ts, damage_id, type, grp, side, part, part_local, severity, severity_local, n_coords FROM v_damages""")
+def _(t):
+    """Registers as they come: one JSON object per file, keyed by plate."""
+    path = scratch_path(t.spark, "whole-register")
+    text = F.to_json(F.create_map("plate_original", "payload"))
+    sinks.write_json_documents(register_docs(t).select(F.substr(text, F.lit(2), F.length(text) - 2)), path, "{}")
+    return flat_register(readers.read_damage_register(t.spark, path))
+
+
 @query("s04_scan_images", """
 SELECT plate, concat(image_id, '_', view, '_0', suffix) AS filename, CASE WHEN view = 'exterior_legacy' THEN 'UNKNOWN' ELSE view END AS view, file_size
 FROM (SELECT image_id, plate, view, CASE image_id % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.JPG' ELSE '.png' END AS suffix, width * height AS file_size FROM v_images) s

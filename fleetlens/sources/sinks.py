@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,22 @@ def write_manifest(metrics: DataFrame, path: str, partition_by: tuple[str, ...]
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_json_documents(entries: DataFrame, path: str, outer: str = "[]") -> None:
+    """One JSON array (or, with ``{}``, object) per partition. ``entries``: one text column, an element or ``"key": value`` per row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = outer[0]
+        for batch in batches:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                lines.append(mark + text)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array([outer[1]])], ["value"])
+
+    entries.mapInArrow(run, "value string").write.text(path)
+
+
 def replace_partitions(table: DataFrame, path: str, partition_by: str) -> None:
     """Overwrite only the partitions present in ``table``."""
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
