@@ -14,7 +14,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of copies and near copies (SimHash links and minima, verified at similarity 0.8 of five-word shingles)."""
     return simhash.without_near_duplicates(docs)
 
 

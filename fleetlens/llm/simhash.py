@@ -43,22 +43,26 @@ def shingle_hashes(w: Column, k: int, distinct: bool = False) -> Column:
     return F.when(n < k, whole).otherwise(F.array_distinct(hashes) if distinct else hashes)
 
 
+def majority(lists: pa.ListArray) -> pa.Array:
+    """Fingerprint per list of hashes: a bit is 1 if more than half of the hashes have it."""
+    values = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint8)
+    ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64)
+    out = np.zeros(len(lists), dtype=np.uint64)
+    for i in range(len(lists)):
+        a, b = ends[i], ends[i + 1]
+        if b > a:
+            counts = np.zeros(64, dtype=np.int64)
+            for c in range(a, b, 65536):  # bounded memory for very long texts
+                d = min(b, c + 65536)
+                counts += np.unpackbits(values[c * 8:d * 8].reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i] = np.packbits(2 * counts > b - a, bitorder="little").view(np.uint64)[0]
+    return pa.array(out.view(np.int64))
+
+
 def bit_majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, hashes -> id, fp: a bit is 1 if more than half of the hashes have it."""
+    """id, hashes -> id, fp."""
     for batch in batches:
-        lists = batch.column(1)
-        values = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint8)
-        ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int64)
-        out = np.zeros(len(lists), dtype=np.uint64)
-        for i in range(len(lists)):
-            a, b = ends[i], ends[i + 1]
-            if b > a:
-                counts = np.zeros(64, dtype=np.int64)
-                for c in range(a, b, 65536):  # bounded memory for very long texts
-                    d = min(b, c + 65536)
-                    counts += np.unpackbits(values[c * 8:d * 8].reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[i] = np.packbits(2 * counts > b - a, bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), majority(batch.column(1))], ["id", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, distinct: bool = False) -> DataFrame:
@@ -351,7 +355,7 @@ def minima(values: np.ndarray, starts: np.ndarray, functions: int) -> np.ndarray
 
 
 def sketches(bands: int):
-    """id, hashes -> id, keys (one per band), sketch (a byte of each minimum); nothing for a text without words."""
+    """id, hashes -> id, keys (one per band), sketch (a byte of each minimum), fp; no keys and no sketch for a text without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
@@ -369,8 +373,8 @@ def sketches(bands: int):
             held = iter((least & np.uint64(255)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
-                pa.array([next(held).tobytes() if x else b"" for x in full], pa.binary()),
-            ], ["id", "keys", "sketch"])
+                pa.array([next(held).tobytes() if x else b"" for x in full], pa.binary()), majority(lists),
+            ], ["id", "keys", "sketch", "fp"])
 
     return run
 
@@ -437,6 +441,16 @@ def sketch_links(points: DataFrame, least: int, rows: int = SKETCH_ROWS) -> Data
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare_sketches(least), "u long, v long")
 
 
+def print_links(classes: DataFrame, tau: int) -> DataFrame:
+    """Links (u, v) of ``classes`` (node, fp) that connect the nodes whose fingerprints :func:`close_links` connects: those of
+    one fingerprint with its smallest, and the smallest ones of linked fingerprints."""
+    points = stored(classes.groupBy("fp").agg(F.min("node").alias("first")), "similar-points")
+    alike = classes.select("fp", "node").join(points, "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    left, right = (points.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in "uv")
+    across = close_links(points.select("fp"), tau).join(left, "u").join(right, "v")
+    return alike.unionByName(across.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+
+
 def similar_blocks(similarity: float):
     """Members of some block pairs (part, low, high, node, shingles) -> links (u, v): of each block pair a spanning forest of
     the exact Jaccard links. Shared shingles are counted over lists of the members that have a shingle."""
@@ -493,15 +507,17 @@ def similar_edges(members: DataFrame, similarity: float, block: int = 1024) -> D
 
 
 def without_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, tau: int = 3
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but one of each group of copies and near copies.
 
     Texts with the same lower-cased words are copies. Texts are near copies if their ``k``-word shingle sets (a shorter
     text: its whole sequence) have Jaccard similarity of at least ``similarity``, and groups are what such links
-    connect. Candidates are taken by minima of independent hash functions over these same sets, so that whatever
-    changed, edits here and there or a long passage, a pair is missed with a probability of at most 2 * ``MISS``
-    (see :func:`sketch_plan`), and verified exactly, directly or through others.
+    connect. Candidates are the texts whose SimHash fingerprints over these shingles, repeats included, link at ``tau`` or
+    fewer differing bits (:func:`close_links`, as in :func:`near_duplicates`). A change in one place can move more bits than
+    selective buckets allow, so candidates are also taken by minima of independent hash functions over the same sets:
+    whatever changed, edits here and there or a long passage, a pair is missed with a probability of at most
+    2 * ``MISS`` (see :func:`sketch_plan`). All are verified exactly, directly or through others.
     The smallest id of a group stays (null ids last); of rows that repeat its id and words, exactly one.
     Null and empty texts are copies of each other. Empty input gives empty output.
     """
@@ -511,12 +527,13 @@ def without_near_duplicates(
     bands, least = sketch_plan(similarity)
     hashed = split.select("id", F.xxhash64(F.concat_ws(" ", "w")).alias("node"), shingle_hashes(F.col("w"), k).alias("hashes"))
     rows = stored(hashed.select(F.struct("id", "node").alias("id"), "hashes").mapInArrow(
-        sketches(bands), f"id struct<id:{kind},node:long>, keys array<long>, sketch binary"
-    ).select("id.id", "id.node", "keys", "sketch"), "similar-rows")
+        sketches(bands), f"id struct<id:{kind},node:long>, keys array<long>, sketch binary, fp long"
+    ).select("id.id", "id.node", "keys", "sketch", "fp"), "similar-rows")
     classes = stored(rows.groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("z"), "id")).alias("best"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+        F.min(F.struct(F.col("id").isNull().alias("z"), "id")).alias("best"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+        F.first("fp").alias("fp"),
     ), "similar-classes")
-    parts = components(sketch_links(classes, least)).select(F.col("node").alias("f"), F.col("component").alias("part"))
+    parts = components(print_links(classes, tau).unionByName(sketch_links(classes, least))).select(F.col("node").alias("f"), F.col("component").alias("part"))
     near = classes.join(parts, F.col("node") == F.col("f")).select("node", "best", "part")
     crowded = near.groupBy("part").agg(F.count("*").alias("m")).select(F.col("part").alias("q"), "m")
     wanted = stored(near.join(stored(crowded, "similar-parts"), F.col("part") == F.col("q")).select(

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, line_dedup, quality, queries, simhash, suffix_dedup, token_counts, warc
 from fleetlens.llm.common import table
@@ -208,6 +209,21 @@ def test_near_duplicates_of_contiguous_changes(spark):
     assert got == sorted({find(i) for i in range(len(texts))})
 
 
+def test_fingerprints_give_candidates_that_are_verified(spark, monkeypatch):
+    none = lambda points, least: points.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false")
+    monkeypatch.setattr(simhash, "sketch_links", none)  # what is found now comes from the fingerprints
+    rnd = random.Random(4)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    changed = [*long[:1500], "other", *long[1501:]]
+    line = "the same eleven words come again and again in here too "
+    ends = [" ".join(f"e{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(2)]  # few words, but most of the set
+    texts = [" ".join(long), " ".join(changed), *[line * 800 + e for e in ends], ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [r.fp for r in simhash.fingerprints(docs, "doc_id", "text", 5).orderBy("id").collect()]
+    assert all(0 < (prints[i] ^ prints[i + 1]).bit_count() <= 3 or prints[i] == prints[i + 1] for i in (0, 2))
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(docs).collect()) == [0, 2, 3, 4]
+
+
 def test_sketch_links(spark):
     bands, least = simhash.sketch_plan(0.8)
     assert (1 - 0.8 ** 3) ** bands <= 1e-12 < (1 - 0.8 ** 3) ** (bands - 1)
