@@ -80,10 +80,10 @@ def valid_boxes(detections: Column) -> Column:
     return F.filter(detections, lambda d: is_box(d["bbox_2d"]))
 
 
-def add_tiles(images: DataFrame, grid: int = 3, overlap: float = 0.10) -> DataFrame:
-    """One row per tile (idx, x, y, w, h in pixels, row-major) of each image's ``width`` x ``height``.
+def with_tile(rows: DataFrame, grid: int = 3, overlap: float = 0.10) -> DataFrame:
+    """Add the place of tile ``tile_idx`` (x, y, w, h in pixels, row-major) in the ``width`` x ``height`` of each row.
 
-    Offsets are cut to whole pixels after each product, in the order written here.
+    Offsets are cut to whole pixels after each product, in the order written here. Tile -1 is the whole image.
     """
     share = 1.0 / grid
 
@@ -97,20 +97,24 @@ def add_tiles(images: DataFrame, grid: int = 3, overlap: float = 0.10) -> DataFr
     def stop(side: str, at: str) -> Column:
         return F.least(F.col(side), F.col(at) + whole(F.col(side) * F.lit(share + overlap)))
 
-    idx = F.col("tile_idx")
+    idx = F.col("tile_idx").cast("int")
     return (
-        images.withColumn("tile_idx", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))))
-        .withColumn("tile_x", start("width", idx % grid))
-        .withColumn("tile_y", start("height", F.floor(idx / grid).cast("int")))
-        .withColumn("tile_w", stop("width", "tile_x") - F.col("tile_x"))
-        .withColumn("tile_h", stop("height", "tile_y") - F.col("tile_y"))
+        rows.withColumn("tile_x", F.when(idx < 0, 0).otherwise(start("width", idx % grid)))
+        .withColumn("tile_y", F.when(idx < 0, 0).otherwise(start("height", F.floor(idx / grid).cast("int"))))
+        .withColumn("tile_w", F.when(idx < 0, F.col("width").cast("int")).otherwise(stop("width", "tile_x") - F.col("tile_x")))
+        .withColumn("tile_h", F.when(idx < 0, F.col("height").cast("int")).otherwise(stop("height", "tile_y") - F.col("tile_y")))
     )
 
 
+def add_tiles(images: DataFrame, grid: int = 3, overlap: float = 0.10) -> DataFrame:
+    """One row per tile (idx, x, y, w, h in pixels, row-major) of each image's ``width`` x ``height``."""
+    return with_tile(images.withColumn("tile_idx", F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1)))), grid, overlap)
+
+
 def rebase(detections: DataFrame) -> DataFrame:
     """Move tile-local corners to the whole image.
 
-    Needs width, height and the four tile columns of :func:`add_tiles`. A row with an incomplete box
+    Needs width, height and the four tile columns of :func:`with_tile`. A row with an incomplete box
     stays as it is. ``tile_idx`` -1 marks a call on the whole image.
     """
     k = F.lit(1000.0)

@@ -6,12 +6,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import boxes as B
 from fleetlens.functions import scalars as S
-from fleetlens.operators.greedy import first_fit
+from fleetlens.operators.greedy import first_fit, large_groups
 from fleetlens.session import cut_lineage
 
 
@@ -20,37 +20,42 @@ def complete(detections: DataFrame) -> DataFrame:
     return detections.dropna(subset=B.CORNERS)
 
 
-def suppress(detections: DataFrame, keys=("image_id",), iou: float = 0.4, max_group: int = 5000) -> DataFrame:
+def suppress(
+    detections: DataFrame, keys=("image_id",), iou: float = 0.4, max_group: int = 5000, bounded: bool = False
+) -> DataFrame:
     """Greedy non-maximum suppression over all labels; a box goes if its IoU with a kept one is above ``iou``."""
     covers = lambda k, x: B.touches(k, x) & (B.iou(k, x) > iou)
-    return first_fit(complete(detections), list(keys), covers, B.CORNERS, max_group, leaders_only=True).drop("leader_id")
+    return first_fit(complete(detections), list(keys), covers, B.CORNERS, max_group, leaders_only=True, bounded=bounded).drop("leader_id")
 
 
 def assign_clusters(
-    detections: DataFrame, keys=("image_id",), radius: float = 120.0, max_group: int = 5000
+    detections: DataFrame, keys=("image_id",), radius: float = 120.0, max_group: int = 5000, bounded: bool = False
 ) -> DataFrame:
     """``leader_id``: the first box of the same label whose centre is nearer than ``radius``."""
     covers = lambda k, x: B.centre_distance(k, x) < radius
-    return first_fit(B.with_centre(detections), [*keys, "label"], covers, ["cx", "cy"], max_group).drop("cx", "cy")
+    return first_fit(B.with_centre(detections), [*keys, "label"], covers, ["cx", "cy"], max_group, bounded=bounded).drop("cx", "cy")
 
 
 def collapse_clusters(
     detections: DataFrame, keys=("image_id",), max_per_cluster: int = 5, radius: float = 120.0,
-    max_group: int = 5000,
+    max_group: int = 5000, bounded: bool = False,
 ) -> DataFrame:
     """Replace every cluster of more than ``max_per_cluster`` boxes by its hull with low confidence.
 
     Boxes without a label are one label. Adds severity, is_cluster and cluster_size; boxes that stay keep all
-    other columns, which are empty for a hull, as is ``found_in``.
+    other columns, which are empty for a hull, as is ``found_in``. ``bounded``: no group has more than ``max_group`` boxes.
     """
     keys = list(keys)
-    # written once: both the hulls and the single boxes are taken from it
-    rows = cut_lineage(assign_clusters(detections, keys, radius, max_group))
+    rows = assign_clusters(detections, keys, radius, max_group, bounded)
+    if not bounded:
+        rows = cut_lineage(rows)  # written once: both the hulls and the single boxes are taken from it
     if "found_in" not in rows.columns:
         rows = rows.withColumn("found_in", F.lit(None).cast("string"))
     if "severity" not in rows.columns:
         rows = rows.withColumn("severity", F.lit(None).cast("string"))
     group = [*keys, "label", "leader_id"]
+    if bounded:
+        return _collapse_in_place(rows, group, max_per_cluster)
     mean = F.sum(F.coalesce("confidence", F.lit(0.0))) / F.count("*")
     hulls = (
         rows.groupBy(*group)
@@ -75,26 +80,53 @@ def collapse_clusters(
     return single.unionByName(merged, allowMissingColumns=True)
 
 
+def _collapse_in_place(rows: DataFrame, group: list[str], max_per_cluster: int) -> DataFrame:
+    """The hulls and the boxes that stay, from windows over the clusters: a cluster lies within a group of the fold, so that its
+    rows are in one task already and are neither written nor sent again."""
+    cluster = Window.partitionBy(*group)
+    mean = F.sum(F.coalesce("confidence", F.lit(0.0))).over(cluster) / F.count("*").over(cluster)
+    sized = rows.withColumns({
+        "_size": F.count("*").over(cluster), "_place": F.row_number().over(cluster.orderBy("det_id")), "_mean": mean,
+        **{"_" + c: (F.min if c.endswith("min") else F.max)(c).over(cluster) for c in B.CORNERS},
+    })
+    hull = F.col("_size") > max_per_cluster
+    as_hull = {
+        **{c: F.col(c) for c in group[:-1]}, **{c: F.col("_" + c) for c in B.CORNERS}, "det_id": F.col("leader_id"),
+        "confidence": F.least(F.lit(0.4), F.col("_mean") * 0.5), "severity": F.lit("uncertain"),
+    }
+    return sized.where(~hull | (F.col("_place") == 1)).select(
+        *[F.when(hull, as_hull.get(c, F.lit(None))).otherwise(F.col(c)).alias(c) for c in rows.columns if c != "leader_id"],
+        hull.alias("is_cluster"), F.when(hull, F.col("_size")).otherwise(0).alias("cluster_size"),
+    )
+
+
 def place_tiles(detections: DataFrame, images: DataFrame, grid: int = 3, overlap: float = 0.10) -> DataFrame:
     """Bring tile-local boxes of ``tile_idx`` into the coordinates of the whole image."""
-    tiles = B.add_tiles(images.select("image_id", "width", "height"), grid, overlap)
-    overview = images.select(
-        "image_id", "width", "height", F.lit(-1).alias("tile_idx"), F.lit(0).alias("tile_x"), F.lit(0).alias("tile_y"),
-        F.col("width").cast("int").alias("tile_w"), F.col("height").cast("int").alias("tile_h"),
-    )
-    geometry = tiles.unionByName(overview)
-    placed = B.rebase(detections.join(geometry, ["image_id", "tile_idx"]))
+    rest = [c for c in detections.columns if c not in ("image_id", "tile_idx")]
+    # a tile's place follows from its number and the image's size, so one row per image is joined, not one per tile
+    sized = detections.where(F.col("tile_idx").isin(*range(-1, grid * grid))).join(images.select("image_id", "width", "height"), "image_id")
+    tile = F.struct("tile_x", "tile_y", "tile_w", "tile_h")
+    # a generator of one row: what follows reads the numbers, where plain columns would be worked out anew in every expression
+    tiled = B.with_tile(sized, grid, overlap).select("image_id", "tile_idx", *rest, "width", "height", F.inline(F.array(tile)))
+    placed = B.rebase(tiled)
     return placed.drop("width", "height", "tile_x", "tile_y", "tile_w", "tile_h")
 
 
+def _suppressed(placed: DataFrame, keys: list[str], iou: float) -> tuple[DataFrame, bool]:
+    """The boxes that suppression leaves, and whether all groups are small. They are as a rule: then the groups are counted once,
+    and all steps run where the join with the images has put the boxes."""
+    bounded = large_groups(complete(placed), keys).isEmpty()
+    kept = suppress(placed, keys, iou, bounded=bounded)
+    return kept if bounded else cut_lineage(kept), bounded
+
+
 def merge_tiles(
     detections: DataFrame, images: DataFrame, keys=("image_id", "model"), iou: float = 0.4,
     max_per_cluster: int = 5, radius: float = 120.0, collapse: bool = True,
 ) -> DataFrame:
     """Tile results to one list per image: rebase, suppress, collapse."""
-    # written once: the cluster step looks at group sizes before it runs
-    kept = cut_lineage(suppress(place_tiles(detections, images), keys, iou))
-    return collapse_clusters(kept, keys, max_per_cluster, radius) if collapse else kept
+    kept, bounded = _suppressed(place_tiles(detections, images), list(keys), iou)
+    return collapse_clusters(kept, keys, max_per_cluster, radius, bounded=bounded) if collapse else kept
 
 
 def merge_stats(
@@ -104,17 +136,16 @@ def merge_stats(
     """How many boxes each merge step left, and where the survivors come from."""
     keys = list(keys)
     placed = place_tiles(detections, images)
-    kept = cut_lineage(suppress(placed, keys, iou))
-    merged = collapse_clusters(kept, keys, max_per_cluster, radius)
-    steps = (
-        placed.select(*keys, F.lit("pre").alias("step"), "found_in", F.lit(False).alias("is_cluster"))
-        .unionByName(kept.select(*keys, F.lit("nms").alias("step"), "found_in", F.lit(False).alias("is_cluster")))
-        .unionByName(merged.select(*keys, F.lit("end").alias("step"), "found_in", "is_cluster"))
+    kept, bounded = _suppressed(placed, keys, iou)
+    merged = collapse_clusters(kept, keys, max_per_cluster, radius, bounded=bounded)
+    # a hull stands for the boxes it replaced, so the end result tells how many suppression left
+    steps = placed.select(*keys, F.lit(1).alias("pre"), F.lit(0).cast("long").alias("kept"), F.lit("").alias("found_in"), F.lit(False).alias("is_cluster")).unionByName(
+        merged.select(*keys, F.lit(0).alias("pre"), F.when(F.col("is_cluster"), F.col("cluster_size")).otherwise(1).alias("kept"), "found_in", "is_cluster")
     )
-    end = F.col("step") == "end"
+    end = F.col("pre") == 0
     return steps.groupBy(*keys).agg(
-        F.count_if(F.col("step") == "pre").alias("n_pre_nms"),
-        F.count_if(F.col("step") == "nms").alias("n_post_nms"),
+        F.count_if(~end).alias("n_pre_nms"),
+        F.sum("kept").alias("n_post_nms"),
         F.count_if(end).alias("n_after_cluster"),
         F.count_if(end & (F.col("found_in") == "overview")).alias("from_overview"),
         F.count_if(end & F.col("found_in").startswith("tile")).alias("from_tiles"),

@@ -46,9 +46,14 @@ def _leader(leaders: Column, x: Column, covers: Covers) -> Column:
     )
 
 
+def large_groups(boxes: DataFrame, keys: list[str], max_group: int = 5000) -> DataFrame:
+    """The keys of groups of more than ``max_group`` rows."""
+    return boxes.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group).select(*keys)
+
+
 def first_fit(
     boxes: DataFrame, keys: list[str], covers: Covers, needs: list[str], max_group: int = 5000,
-    leaders_only: bool = False, salts: int = 64,
+    leaders_only: bool = False, salts: int = 64, bounded: bool = False,
 ) -> DataFrame:
     """Add ``leader_id`` to every row, or return only the leaders; a leader's id is its own ``det_id``.
 
@@ -58,12 +63,11 @@ def first_fit(
     Groups up to ``max_group`` rows are folded in one array. Larger ones are worked off in rounds: the
     first ``max_group`` open rows are folded, their leaders are sent to all salted parts of the group,
     and covered rows leave. Every open row comes after those leaders in order, so the result is the
-    same as one long fold.
+    same as one long fold. ``bounded``: the caller knows that no group is larger, so none is counted.
     """
     ranked = boxes.withColumn("_rank", -F.coalesce("confidence", F.lit(0.0)))
-    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group)
-    large = sizes.select(*keys)
-    if large.isEmpty():
+    large = large_groups(ranked, keys, max_group)
+    if bounded or large.isEmpty():
         return _fold(ranked, keys, covers, leaders_only).drop("_rank")
 
     large = cut_lineage(large)
