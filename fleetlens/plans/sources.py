@@ -114,7 +114,8 @@ SELECT plate_original, CAST(case_id AS VARCHAR) AS case_id, case_ts, damage_id,
 def _(t):
     path = scratch_path(t.spark, "register")
     line = F.to_json(F.create_map("plate_original", "payload"))
-    register_docs(t).select(line.alias("value")).write.text(path)
+    # compressed files are read whole: their lines are bounded, so that a task reads a bounded piece
+    register_docs(t).select(line.alias("value")).write.option("maxRecordsPerFile", 500_000).text(path, compression="gzip")
     return flat_register(readers.read_damage_register(t.spark, path, whole_files=False))
 
 
