@@ -9,37 +9,62 @@ object or array. An entry that crosses from one range to the next is put togethe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.session import scratch_path
 
-ESCAPE = re.compile(r"\\.", re.DOTALL)
-STRING = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)', re.DOTALL)  # the last one of a piece may go on behind it
-STRUCTURE = re.compile(STRING.pattern + r"|[{}\[\],]", re.DOTALL)
-REST_OF_STRING = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL)
-
-
-def _delta(text: str) -> int:
-    return text.count("{") + text.count("[") - text.count("}") - text.count("]")
+QUOTE, BACKSLASH, COMMA = b'"\\,'
+CHUNK = 1 << 22  # bytes looked at together
+STEP = np.zeros(256, dtype=np.int8)  # what a byte outside strings adds to the depth
+STEP[list(b"{[")], STEP[list(b"}]")] = 1, -1
+MARKS = np.zeros(256, dtype=bool)
+MARKS[list(b'"{}[],')] = True
+
+
+def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some whole pieces: the places of quotes that end or begin a string, brackets and commas; their bytes; how many such quotes lie
+    before each."""
+    at = np.flatnonzero(MARKS[data])
+    escapes = np.flatnonzero(data == BACKSLASH)
+    if len(escapes):  # the byte behind an odd run of backslashes is escaped; no run crosses the end of a piece
+        first = np.append(True, np.diff(escapes) != 1)
+        runs = np.flatnonzero(first)
+        lengths = np.diff(np.append(runs, len(escapes)))
+        at = at[~np.isin(at, (escapes[runs] + lengths)[lengths % 2 == 1], assume_unique=True)]
+    found = data[at]
+    quotes = found == QUOTE
+    return at, found, np.cumsum(quotes) - quotes
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, bytes]]:
+    """(file, start, text) of the successive pieces of one range, each with its brace, at most ``CHUNK`` bytes and a piece at a time."""
+    if not len(batch):
+        return
+    files, starts = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+    code, pieces = files.indices.to_numpy(), batch.column(2).cast(pa.binary()).to_pylist()
+    size = np.cumsum(np.diff(np.frombuffer(batch.column(2).cast(pa.binary()).buffers()[1], np.int32, len(batch) + 1, batch.column(2).offset * 4))) // CHUNK
+    cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(starts) != 0) | (np.diff(size) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+        yield files.dictionary[int(code[a])].as_py(), int(starts[a]), b"}".join(pieces[a:b]) + b"}"
 
 
 def count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """file, start, value -> per range: quotes (odd number), depth gained if it begins outside a string, and if inside."""
     found: dict[tuple, list[int]] = {}
     for batch in batches:
-        for file, start, value in zip(*(c.to_pylist() for c in batch.columns)):
+        for file, start, text in runs(batch):
             about = found.setdefault((file, start), [0, 0, 0])
-            parts = ESCAPE.sub("", value + "}").split('"')
-            deltas = [sum(map(_delta, parts[k::2])) for k in (0, 1)]  # outside, inside, as the piece begins outside
-            odd = about[0]
-            about[1] += deltas[odd]
-            about[2] += deltas[1 - odd]
-            about[0] = odd ^ (len(parts) - 1 & 1)
+            _, kinds, quotes = marks(np.frombuffer(text, np.uint8))
+            step, odd = STEP[kinds], (quotes & 1).astype(bool)
+            deltas = int(step[~odd].sum(dtype=np.int64)), int(step[odd].sum(dtype=np.int64))  # outside, inside, as the text begins outside
+            about[1] += deltas[about[0]]
+            about[2] += deltas[1 - about[0]]
+            about[0] ^= int(np.count_nonzero(kinds == QUOTE)) & 1
     rows = [(*key, *about) for key, about in found.items()]
     yield pa.RecordBatch.from_arrays(
         [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
@@ -48,42 +73,36 @@ def count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Cutter:
-    """Cuts the pieces of one range at the commas of depth 1; ``inside`` and ``depth`` are the state as the range begins."""
+    """Cuts the text of one range at the commas of depth 1; ``inside`` and ``depth`` are the state as the range begins."""
 
     def __init__(self, inside: bool, depth: int):
         self.inside, self.depth = inside, max(depth, 0)
-        self.held: list[str] | None = [] if depth > 0 else None
-
-    def feed(self, piece: str) -> Iterator[str]:
-        """Entries, or parts of them, that a comma ends in this piece."""
-        at, from_ = 0, 0
-        if self.inside:
-            closed = REST_OF_STRING.match(piece)
-            if not closed:
-                self.held.append(piece)
-                return
-            at = closed.end()
-        self.inside = bool(ESCAPE.sub("", piece[at:]).count('"') & 1)
-        if not self.inside and self.depth - piece.count("]", at) - piece.count("}", at, len(piece) - 1) > 1:
-            self.depth += _delta(STRING.sub("", piece[at:]))  # nothing here comes near depth 1
-            self.held.append(piece)
-            return
-        for m in STRUCTURE.finditer(piece, at):
-            c = m.group()[0]
-            if c in "{[":
-                self.depth += 1
-                if self.depth == 1:
-                    from_, self.held = m.end(), []  # the outermost bracket belongs to no entry
-            elif c in "}]":
-                self.depth = max(self.depth - 1, 0)
-                if self.depth == 0 and self.held is not None:
-                    yield "".join([*self.held, piece[from_:m.start()]])
-                    self.held = None  # nothing comes behind the document
-            elif c == "," and self.depth == 1:
-                yield "".join([*self.held, piece[from_:m.start()]])
-                self.held, from_ = [], m.end()
+        self.held: list[bytes] | None = [] if depth > 0 else None
+
+    def feed(self, text: bytes) -> list[bytes]:
+        """Entries, or parts of them, that a comma ends in this text."""
+        at, kinds, quotes = marks(np.frombuffer(text, np.uint8))
+        outside = ((quotes + self.inside) & 1) == 0
+        self.inside = bool((int(np.count_nonzero(kinds == QUOTE)) + self.inside) & 1)
+        at, kinds = at[outside], kinds[outside]
+        depth = self.depth + np.cumsum(STEP[kinds], dtype=np.int64)
+        depth -= np.minimum(np.minimum.accumulate(depth), 0) if len(depth) else 0  # a bracket too many behind the document counts for nothing
+        before = np.append(self.depth, depth[:-1])
+        opens, cuts = (before == 0) & (depth == 1), (depth == 1) & (kinds == COMMA)
+        ends = (before == 1) & (depth == 0)
+        some = np.flatnonzero(opens | cuts | ends)
+        found, from_ = [], 0
+        for place, opened, ended in zip(at[some].tolist(), opens[some].tolist(), ends[some].tolist()):
+            if not opened:
+                self.held.append(text[from_:place])
+                found.append(b"".join(self.held) if len(self.held) > 1 else self.held[0])
+            self.held = None if ended else []  # nothing comes behind the document; the outermost bracket belongs to no entry
+            from_ = place + 1
+        if len(depth):
+            self.depth = int(depth[-1])
         if self.depth:
-            self.held.append(piece[from_:])
+            self.held.append(text[from_:])
+        return found
 
 
 def cut_ranges(states: dict[tuple, tuple[bool, int]]):
@@ -91,22 +110,24 @@ def cut_ranges(states: dict[tuple, tuple[bool, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutters: dict[tuple, tuple[Cutter, list]] = {}
         names = ["file", "start", "number", "last", "text"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
-        def made(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+        def made(file: str, start: int, number: int, last: bool, texts: list[bytes]) -> pa.RecordBatch:
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([
+                pa.array([file] * n, pa.string()), pa.array(np.full(n, start, np.int64)), pa.array(np.arange(number, number + n, dtype=np.int64)),
+                pa.array([last] * n, pa.bool_()), pa.array(texts, pa.binary()).cast(pa.string()),
+            ], names)
 
         for batch in batches:
-            rows = []
-            for file, start, value in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, start, text in runs(batch):
                 if (file, start) not in cutters:
                     cutters[file, start] = Cutter(*states[file, start]), [0]
                 cutter, number = cutters[file, start]
-                for text in cutter.feed(value + "}"):
-                    rows.append((file, start, number[0], False, text))
-                    number[0] += 1
-            yield made(rows)
-        yield made([(*key, number[0], True, "".join(cutter.held or [])) for key, (cutter, number) in cutters.items()])
+                texts = cutter.feed(text)
+                yield made(file, start, number[0], False, texts)
+                number[0] += len(texts)
+        for (file, start), (cutter, number) in cutters.items():
+            yield made(file, start, number[0], True, [b"".join(cutter.held or [])])
 
     return run
 

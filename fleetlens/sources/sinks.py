@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,13 @@ def write_json_documents(entries: DataFrame, path: str, outer: str = "[]") -> No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = outer[0]
         for batch in batches:
-            lines = []
-            for text in batch.column(0).to_pylist():
-                lines.append(mark + text)
-                mark = ","
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+            texts = batch.column(0)
+            if texts.null_count:
+                raise TypeError("an entry is null")
+            lines = pc.binary_join_element_wise(pa.scalar(",", texts.type), texts, pa.scalar("", texts.type))
+            if mark != "," and len(texts):
+                lines, mark = pa.concat_arrays([pa.array([mark + texts[0].as_py()], texts.type), lines[1:]]), ","
+            yield pa.RecordBatch.from_arrays([lines], ["value"])
         if mark == ",":
             yield pa.RecordBatch.from_arrays([pa.array([outer[1]])], ["value"])
 

@@ -1,13 +1,18 @@
 """Large JSON documents, cut at byte ranges, against a plain parser."""
 
+import glob
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.sources import readers
+from fleetlens.plans import registry
+from fleetlens.session import checkpoint_root
+from fleetlens.sources import json_parts, readers
 from fleetlens.sources.json_parts import json_entries
+from tests.oracle import DATA
 
 ODD = ['plain', 'with "quotes"', "braces }{ and ][", "back\\slash", 'all \\" } , "{" ] , ', "line\nbreak, comma", "Größe }", "", "}" * 40, '\\\\"', "\\"]
 
@@ -99,3 +104,20 @@ def test_one_large_register_is_read_by_many_tasks(spark, tmp_path):
         assert rows.agg(F.countDistinct("plate_original"), F.min(F.length(F.col("payload.damage_cases")[0]["damages"][0]["damage_id"]))).first()[:] == (60_000, 902)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pieces_of_a_range_are_looked_at_together():
+    pieces = pa.array(['{"a": "x, \\"'] + ['", "b": {"c": 1'] * 9999, pa.string())
+    n = len(pieces)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * (n - 5) + ["g"] * 5), pa.array([0] * n, pa.int64()), pieces], ["file", "start", "value"])
+    got = list(json_parts.runs(batch))
+    assert [(file, start, text.count(b"}")) for file, start, text in got] == [("f", 0, n - 5), ("g", 0, 5)]
+    assert b"".join(text for _, _, text in got).decode() == "".join(p + "}" for p in pieces.to_pylist())
+
+
+def test_register_lines_are_written_compressed(spark, tmp_path):
+    folder = checkpoint_root(spark)
+    before = set(glob.glob(f"{folder}/register-*/*"))
+    assert registry.queries()["s03_read_damage_register"](spark, f"{DATA}/sf0.001").count() > 0
+    written = [p for p in set(glob.glob(f"{folder}/register-*/*")) - before if "part-" in p]
+    assert written and all(p.endswith(".gz") for p in written)
