@@ -240,13 +240,20 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     is used unless empty, else ``visible_damages``. Adds ``parsed_ok``, ``error`` (``empty_response``, ``parse_error`` or
     null) and ``detections`` (complete boxes only).
     """
-    bare = F.trim(F.regexp_replace(F.trim("raw"), r"(?m)^```(?:json)?\s*|\s*```\s*$", ""))
-    inner = F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)
+    # a step that is used more than once is a column of its own, so that it runs once a row (inside from_json nothing is shared)
+    raw = F.trim(F.make_valid_utf8("raw"))  # as the readers of JSON take it
+    fenced = F.regexp_replace(raw, r"(?m)^```(?:json)?\s*|\s*```\s*$", "")
+    bare, inner, first = F.col("_bare"), F.col("_inner"), F.instr("_bare", "{")
+    size = F.length("_bare") - F.length(F.substring_index("_bare", "}", -1)) - first + 1  # up to the last closing brace
+    rows = responses.withColumn("_bare", F.trim(F.when(raw.contains("```"), fenced).otherwise(raw)))
+    rows = rows.withColumn("_inner", F.when((first > 0) & (size > 1), F.substr("_bare", first, size)))
     # from_json reads malformed text as a struct of nulls, so what is read must parse as an object first
-    strict = lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x)
-    rows = responses.withColumn("_t", F.coalesce(strict(bare), strict(inner))).withColumn("_p", F.from_json("_t", schemas.RESPONSE))
+    strict = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    whole = F.when(inner.isNotNull() & bare.startswith("{"), strict(bare))  # without both braces there is no object
+    rows = rows.withColumn("_t", F.coalesce(whole, F.when(inner != bare, strict(inner))))
+    rows = rows.withColumn("_p", F.when(F.col("_t").isNotNull(), F.from_json("_t", schemas.RESPONSE)))
     some = F.when(F.size("_p.damages") > 0, F.col("_p.damages")).otherwise(F.col("_p.visible_damages"))
     error = F.when(F.coalesce(F.trim("raw"), F.lit("")) == "", "empty_response").when(F.col("_t").isNull(), "parse_error")
     return rows.withColumn("parsed_ok", F.col("_t").isNotNull()).withColumn("error", error).withColumn(
         "detections", B.valid_boxes(F.coalesce(some, F.array()))
-    ).drop("_p", "_t")
+    ).drop("_p", "_t", "_inner", "_bare")

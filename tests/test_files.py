@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import images as I
 from fleetlens.operators import store
-from fleetlens.sources import readers
+from fleetlens.sources import readers, sinks
 from fleetlens.streaming import scans
 
 
@@ -144,6 +144,31 @@ def test_model_answers(spark):
     assert got == {0: wrong, 1: wrong, 2: (True, None, 0), 3: wrong, 4: (False, "empty_response", 0)}
 
 
+def test_an_answer_is_cleaned_and_parsed_once(spark):
+    """Inside from_json nothing is shared between uses, so the cleaning must be over before it."""
+    rows = readers.parse_responses(spark.createDataFrame([("{}",)], "raw string").selectExpr("raw || ' ' AS raw"))
+    plan = sinks.label_studio_result(rows)._jdf.queryExecution().optimizedPlan().toString()
+    read = [step for step in plan.splitlines() if "from_json(" in step]
+    assert len(read) == 1 and read[0].count("from_json(") == 1
+    assert "regexp" not in read[0] and "parseJson" not in read[0]
+    assert plan.count("regexp_") == 1
+
+
+def test_where_an_answer_holds_its_object(spark):
+    box = '"damages": [{"bbox_2d": [1, 2, 3, 4], "label": "\u00df"}]'
+    wrong, right = (False, "parse_error", []), (True, None, ["\u00df"])
+    texts = {
+        "\U0001f600 {" + box + "} \U0001f600": right, "```{" + box + "}```": right, "a\n```json\n{" + box + "}\n```\n": right,
+        "}} {" + box + "}": right, "{" + box + ', "x": {"y": {}}} end': right, "} {": wrong, "{" + box + "} and }": right,
+        "so {" + box + "} and {note}": right, "{" + box + ", " + box + "}": wrong, "{" + box: wrong, "[{" + box + "}]": right, "``` ```": wrong, "": (False, "empty_response", []),
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").unionByName(
+        spark.sql("SELECT -1 AS i, CAST(concat(unhex('C3'), CAST('{' AS BINARY), unhex('FF'), CAST('}' AS BINARY)) AS STRING) AS raw")
+    )
+    got = {r.i: (r.parsed_ok, r.error, [d.label for d in r.detections]) for r in readers.parse_responses(rows).collect()}
+    assert got.pop(-1) == wrong and got == dict(enumerate(texts.values()))
+
+
 def test_session_gaps(spark, tmp_path):
     """A gap closes a session, however its photos are cut into batches."""
     schema = "session_id bigint, view_idx int, captured_at timestamp, seq bigint, removed boolean, n_damages bigint"
