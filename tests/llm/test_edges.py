@@ -1,13 +1,14 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, sharding, simhash, suffix_dedup, token_counts, warc
+from fleetlens.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, queries, sharding, simhash, suffix_dedup, token_counts, warc
 
 WORDS = [f"word{i}" for i in range(50)]
 LONG = " ".join(WORDS[i * 7 % 50] + str(i) for i in range(20000))
@@ -86,6 +87,36 @@ def test_suffix(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_planted_passages(spark, tmp_path):
+    rnd = random.Random(3)
+
+    def prose(n, long):
+        return " ".join("".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(*long))) for _ in range(n))
+
+    rows, kinds = [], {}
+    for long, kind in (((7, 12), "long"), ((2, 6), "short"), (None, "clean")):  # passages of 51 to 60 words
+        for _ in range(12):
+            passage = prose(rnd.randint(51, 60), long) if long else ""
+            for _ in range(2 if long else 1):
+                kinds[len(rows)] = kind
+                rows.append((len(rows), f"{prose(rnd.randint(0, 200), (2, 9))}\n{passage}\n{prose(rnd.randint(60, 200), (2, 9))}"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = Counter(t.encode()[i:i + 400] for _, t in rows for i in range(len(t.encode()) - 399))
+    want = {}
+    for i, t in rows:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 399):
+            if seen[raw[s:s + 400]] > 1:
+                gone[s:s + 400] = b"\1" * 400
+        kept = bytes(c for c, g in zip(raw, gone) if not g)
+        want[i] = (len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == want
+    # the contract counts bytes: a passage of over 50 words goes if it has 400 of them, and n_removed tells it, not n_bytes
+    assert all((got[i][1] > 0) == (kind == "long") for i, kind in kinds.items())
+
+
 def test_simhash(docs, empty):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS)
