@@ -131,8 +131,10 @@ SELECT plate_original, CAST(case_id AS VARCHAR) AS case_id, case_ts, damage_id,
 def _(t):
     """Registers as they come: one JSON object per file, keyed by plate."""
     path = scratch_path(t.spark, "whole-register")
-    text = F.to_json(F.create_map("plate_original", "payload"))
-    sinks.write_json_documents(register_docs(t).select(F.substr(text, F.lit(2), F.length(text) - 2)), path, "{}")
+    text = register_docs(t).select(F.to_json(F.create_map("plate_original", "payload")).alias("text"))  # by itself, so that it is made once
+    entries = text.select(F.substr("text", F.lit(2), F.length("text") - 2))
+    # compressed documents are read whole: their entries are bounded, so that a task reads a bounded piece
+    sinks.write_json_documents(entries, path, "{}", most=500_000, compression="gzip")
     return flat_register(readers.read_damage_register(t.spark, path))
 
 

@@ -5,11 +5,16 @@ inside a string, and how deep, depends on all that comes before it, so there are
 range, the quotes and the brackets, once as if it began outside and once as if inside a string; the few numbers per
 range are added up in order of the file; the second, now that each range knows its state, cuts at the commas of the outermost
 object or array. An entry that crosses from one range to the next is put together by one small shuffle.
+
+A file compressed by gzip cannot be entered in its middle: it is unpacked and cut from its beginning by one task, in one pass and
+without scratch tables.
 """
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +25,7 @@ from fleetlens.session import scratch_path
 
 QUOTE, BACKSLASH, COMMA = b'"\\,'
 CHUNK = 1 << 22  # bytes looked at together
+PACKED = 64 << 20  # a gzip file of at most so many bytes is handed to its task at once, a larger one as pieces
 STEP = np.zeros(256, dtype=np.int8)  # what a byte outside strings adds to the depth
 STEP[list(b"{[")], STEP[list(b"}]")] = 1, -1
 MARKS = np.zeros(256, dtype=bool)
@@ -132,14 +138,52 @@ def cut_ranges(states: dict[tuple, tuple[bool, int]]):
     return run
 
 
+def cut_packed(numbers: dict[str, int]):
+    """file, content (gzip) -> pos, entry. A task holds files as they are stored (a batch), and of their text a chunk and an entry."""
+    def placed(pos: int, texts: list[bytes]) -> pa.RecordBatch:
+        at = pa.array(np.arange(pos, pos + len(texts), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([at, pa.array(texts, pa.binary()).cast(pa.string())], ["pos", "entry"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0), batch.column(1)):
+                cutter, pos = Cutter(False, 0), numbers[file.as_py()] << 44
+                with gzip.open(pa.BufferReader(content.as_buffer())) as stream:
+                    while text := stream.read(CHUNK):
+                        while text.endswith(b"\\") and (more := stream.read(1)):  # no run of backslashes crosses the end of a chunk
+                            text += more
+                        texts = cutter.feed(text)
+                        yield placed(pos, texts)
+                        pos += len(texts)
+                yield placed(pos, [b"".join(cutter.held or [])])
+
+    return run
+
+
 def json_entries(spark: SparkSession, path: str) -> DataFrame:
     """(pos, entry): the text of each entry of the outermost object or array of each file below ``path``.
 
     An entry of an object is ``"key": value``. White space around entries is left; an empty object, array or file has no
-    entry. ``pos`` grows in the order of the files' names and within a file. Files must be well-formed JSON in UTF-8 with one document each, not
-    compressed (a compressed file is one range). A task holds one range's pieces in turn, and one entry.
+    entry. ``pos`` grows in the order of the files' names and within a file. Files must be well-formed JSON in UTF-8 with one document each. A
+    compressed file is read by one task, any other at ranges by many; a task holds one range's pieces in turn, and one entry.
     """
-    text = spark.read.option("lineSep", "}").text(path)
+    packed = F.col("_metadata.file_path").endswith(".gz") & (F.col("_metadata.file_size") <= PACKED)
+    stored = spark.read.format("binaryFile").load(path)
+    found = stored.select(F.col("_metadata.file_path").alias("file"), packed.alias("packed")).collect()  # a row per file
+    numbers = {file: i for i, file in enumerate(sorted(r.file for r in found))}
+    parts = []
+    if any(r.packed for r in found):
+        contents = stored.where(packed).select(F.col("_metadata.file_path").alias("file"), "content")
+        parts.append(contents.mapInArrow(cut_packed(numbers), "pos long, entry string"))
+    if not parts or not all(r.packed for r in found):
+        text = spark.read.option("lineSep", "}").text(path)
+        parts.append(range_entries(text.where(~packed) if parts else text, numbers))
+    return reduce(DataFrame.unionByName, parts).where(F.col("entry").rlike(r"\S"))
+
+
+def range_entries(text: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """(pos, entry) of the files of ``text``, which has them as pieces up to a brace."""
+    spark = text.sparkSession
     pieces = text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
     )
@@ -164,7 +208,7 @@ def json_entries(spark: SparkSession, path: str) -> DataFrame:
         if ends[file, start]:
             owner = start, ends[file, start]
     owned = F.broadcast(spark.createDataFrame(owners, "file string, start long, o_start long, o_number long, place long"))
-    files = F.broadcast(spark.createDataFrame(list(enumerate(sorted({f for f, _ in order}))), "file_no long, file string"))
+    files = F.broadcast(spark.createDataFrame([(numbers[f], f) for f in dict.fromkeys(f for f, _ in order)], "file_no long, file string"))
     whole = rows.where("number > 0 AND NOT last").select("file", F.col("start").alias("range_start"), "number", F.col("text").alias("entry"))
     first = (F.col("number") == 0) & ((F.col("start") != F.col("o_start")) | (F.col("o_number") != 0))
     split = rows.where("number = 0 OR last").join(owned, ["file", "start"]).select(
@@ -176,4 +220,4 @@ def json_entries(spark: SparkSession, path: str) -> DataFrame:
     )
     # a range has fewer entries than bytes
     pos = F.shiftleft("file_no", 44) + F.col("range_start") + F.col("number")
-    return whole.unionByName(joined).where(F.col("entry").rlike(r"\S")).join(files, "file").select(pos.alias("pos"), "entry")
+    return whole.unionByName(joined).join(files, "file").select(pos.alias("pos"), "entry")

@@ -23,22 +23,33 @@ def write_manifest(metrics: DataFrame, path: str, partition_by: tuple[str, ...]
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_json_documents(entries: DataFrame, path: str, outer: str = "[]") -> None:
-    """One JSON array (or, with ``{}``, object) per partition. ``entries``: one text column, an element or ``"key": value`` per row."""
+def write_json_documents(entries: DataFrame, path: str, outer: str = "[]", most: int | None = None, compression: str = "none") -> None:
+    """JSON arrays (or, with ``{}``, objects), one per file: a partition's entries, or ``most`` of them at a time.
+
+    ``entries``: one text column, an element or ``"key": value`` per row.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = outer[0]
+        held = 0  # entries of the document that is open
         for batch in batches:
             texts = batch.column(0)
             if texts.null_count:
                 raise TypeError("an entry is null")
-            lines = pc.binary_join_element_wise(pa.scalar(",", texts.type), texts, pa.scalar("", texts.type))
-            if mark != "," and len(texts):
-                lines, mark = pa.concat_arrays([pa.array([mark + texts[0].as_py()], texts.type), lines[1:]]), ","
-            yield pa.RecordBatch.from_arrays([lines], ["value"])
-        if mark == ",":
+            while len(texts):
+                room = most - held if most else len(texts)
+                some, texts = texts[:room], texts[room:]
+                lines = pc.binary_join_element_wise(pa.scalar(",", some.type), some, pa.scalar("", some.type))
+                if not held:
+                    lines = pa.concat_arrays([pa.array([outer[0] + some[0].as_py()], some.type), lines[1:]])
+                yield pa.RecordBatch.from_arrays([lines], ["value"])
+                held += len(some)
+                if held == most:
+                    yield pa.RecordBatch.from_arrays([pa.array([outer[1]])], ["value"])
+                    held = 0
+        if held:
             yield pa.RecordBatch.from_arrays([pa.array([outer[1]])], ["value"])
 
-    entries.mapInArrow(run, "value string").write.text(path)
+    # a document of ``most`` entries has one line more
+    entries.mapInArrow(run, "value string").write.option("maxRecordsPerFile", most + 1 if most else 0).text(path, compression=compression)
 
 
 def replace_partitions(table: DataFrame, path: str, partition_by: str) -> None:

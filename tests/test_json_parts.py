@@ -1,6 +1,7 @@
 """Large JSON documents, cut at byte ranges, against a plain parser."""
 
 import glob
+import gzip
 import json
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.plans import registry
 from fleetlens.session import checkpoint_root
-from fleetlens.sources import json_parts, readers
+from fleetlens.sources import json_parts, readers, sinks
 from fleetlens.sources.json_parts import json_entries
 from tests.oracle import DATA
 
@@ -121,3 +122,60 @@ def test_register_lines_are_written_compressed(spark, tmp_path):
     assert registry.queries()["s03_read_damage_register"](spark, f"{DATA}/sf0.001").count() > 0
     written = [p for p in set(glob.glob(f"{folder}/register-*/*")) - before if "part-" in p]
     assert written and all(p.endswith(".gz") for p in written)
+
+
+def packed_entries(content, chunk, monkeypatch):
+    monkeypatch.setattr(json_parts, "CHUNK", chunk)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([content], pa.binary())], ["file", "content"])
+    found = [r for b in json_parts.cut_packed({"f": 2})([batch]) for r in b.to_pylist()]
+    assert [r["pos"] for r in found] == list(range(2 << 44, (2 << 44) + len(found)))
+    return [r["entry"] for r in found if r["entry"].strip()]
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, 1 << 20])
+def test_packed_documents_are_cut_at_any_chunk(monkeypatch, chunk):
+    rnd = random.Random(chunk)
+    array, keyed = [value(rnd) for _ in range(12)], {f"{rnd.choice(ODD)}{i}": value(rnd) for i in range(12)}
+    text = json.dumps(array, indent=rnd.choice([None, 2]), ensure_ascii=False).encode()
+    assert [json.loads(e) for e in packed_entries(gzip.compress(text), chunk, monkeypatch)] == array
+    members = gzip.compress(text[:50]) + gzip.compress(text[50:])  # a file of two members is one text
+    assert [json.loads(e) for e in packed_entries(members, chunk, monkeypatch)] == array
+    got = [json.loads("{" + e + "}") for e in packed_entries(gzip.compress(json.dumps(keyed).encode()), chunk, monkeypatch)]
+    assert [next(iter(e.items())) for e in got] == list(keyed.items())
+    assert packed_entries(gzip.compress(b" [ ] \n"), chunk, monkeypatch) == []
+    with pytest.raises(EOFError):
+        packed_entries(gzip.compress(text)[:-20], chunk, monkeypatch)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 400])
+def test_packed_and_plain_files_together(spark, tmp_path, small_ranges, monkeypatch, limit):
+    """Packed files above the limit are read as pieces, like plain ones."""
+    monkeypatch.setattr(json_parts, "PACKED", limit)
+    rnd, want = random.Random(5), []
+    for name, n in {"a.json.gz": 1, "b.json": 30, "c.json.gz": 30, "d.json.gz": 0, "e.json": 2, "f.gz": 2}.items():
+        want += (values := [value(rnd) for _ in range(n)])
+        with (gzip.open if name.endswith(".gz") else open)(tmp_path / name, "wt") as f:
+            json.dump(values, f)
+    sizes = [p.stat().st_size for p in tmp_path.glob("*.gz")]
+    assert min(sizes) < 400 < max(sizes)
+    assert [json.loads(e) for e in entries(spark, tmp_path)] == want
+
+
+def test_documents_of_bounded_length(spark, tmp_path):
+    rows = spark.range(0, 95, 1, 3).select(F.concat(F.lit('"k'), "id", F.lit('": {"v": '), "id", F.lit("}")))
+    sinks.write_json_documents(rows, str(tmp_path / "out"), "{}", most=10, compression="gzip")
+    files = glob.glob(f"{tmp_path}/out/part-*.gz")
+    documents = [json.loads(gzip.open(f).read()) for f in files]
+    assert sorted(map(len, documents)) == [1, 2, 2] + [10] * 9  # partitions of 31, 32 and 32
+    assert {k: v["v"] for d in documents for k, v in d.items()} == {f"k{i}": i for i in range(95)}
+    assert len(entries(spark, tmp_path / "out")) == 95
+
+
+def test_whole_register_is_written_compressed_and_once(spark):
+    """Neither the documents nor what is cut from them lie on disk as plain text."""
+    folder = checkpoint_root(spark)
+    before = set(glob.glob(f"{folder}/*"))
+    assert registry.queries()["s03_read_whole_register"](spark, f"{DATA}/sf0.001").count() > 0
+    made = [p for p in set(glob.glob(f"{folder}/*")) - before if not p.endswith(".crc")]
+    written = [f for p in made for f in glob.glob(f"{p}/part-*")]
+    assert written and all("/whole-register-" in f and f.endswith(".gz") for f in written)
