@@ -28,23 +28,23 @@ CHUNK = 1 << 22  # bytes looked at together
 PACKED = 64 << 20  # a gzip file of at most so many bytes is handed to its task at once, a larger one as pieces
 STEP = np.zeros(256, dtype=np.int8)  # what a byte outside strings adds to the depth
 STEP[list(b"{[")], STEP[list(b"}]")] = 1, -1
-MARKS = np.zeros(256, dtype=bool)
-MARKS[list(b'"{}[],')] = True
+MARKS = bytes(b in b'"{}[],' for b in range(256))
 
 
-def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some whole pieces: the places of quotes that end or begin a string, brackets and commas; their bytes; how many such quotes lie
-    before each."""
-    at = np.flatnonzero(MARKS[data])
-    escapes = np.flatnonzero(data == BACKSLASH)
-    if len(escapes):  # the byte behind an odd run of backslashes is escaped; no run crosses the end of a piece
+def marks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some whole pieces: the places of quotes that end or begin a string, brackets and commas; their bytes; whether an odd number of
+    such quotes lies before each."""
+    data = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(np.frombuffer(text.translate(MARKS), bool))
+    if BACKSLASH in text:  # the byte behind an odd run of backslashes is escaped; no run crosses the end of a piece
+        escapes = np.flatnonzero(data == BACKSLASH)
         first = np.append(True, np.diff(escapes) != 1)
         runs = np.flatnonzero(first)
         lengths = np.diff(np.append(runs, len(escapes)))
         at = at[~np.isin(at, (escapes[runs] + lengths)[lengths % 2 == 1], assume_unique=True)]
     found = data[at]
     quotes = found == QUOTE
-    return at, found, np.cumsum(quotes) - quotes
+    return at, found, ((np.cumsum(quotes, dtype=np.uint8) - quotes) & 1).astype(bool)  # whether odd is all that is kept of the count
 
 
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, bytes]]:
@@ -65,8 +65,8 @@ def count_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, start, text in runs(batch):
             about = found.setdefault((file, start), [0, 0, 0])
-            _, kinds, quotes = marks(np.frombuffer(text, np.uint8))
-            step, odd = STEP[kinds], (quotes & 1).astype(bool)
+            _, kinds, odd = marks(text)
+            step = STEP[kinds]
             deltas = int(step[~odd].sum(dtype=np.int64)), int(step[odd].sum(dtype=np.int64))  # outside, inside, as the text begins outside
             about[1] += deltas[about[0]]
             about[2] += deltas[1 - about[0]]
@@ -87,9 +87,10 @@ class Cutter:
 
     def feed(self, text: bytes) -> list[bytes]:
         """Entries, or parts of them, that a comma ends in this text."""
-        at, kinds, quotes = marks(np.frombuffer(text, np.uint8))
-        outside = ((quotes + self.inside) & 1) == 0
-        self.inside = bool((int(np.count_nonzero(kinds == QUOTE)) + self.inside) & 1)
+        at, kinds, odd = marks(text)
+        quotes = kinds == QUOTE
+        outside = (odd == self.inside) & ~quotes
+        self.inside = bool((int(np.count_nonzero(quotes)) + self.inside) & 1)
         at, kinds = at[outside], kinds[outside]
         depth = self.depth + np.cumsum(STEP[kinds], dtype=np.int64)
         depth -= np.minimum(np.minimum.accumulate(depth), 0) if len(depth) else 0  # a bracket too many behind the document counts for nothing

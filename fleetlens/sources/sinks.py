@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from fleetlens.operators import detections as DET
 from fleetlens.operators import images as I
 from fleetlens.operators import store
 
+ROW = 100  # entries of a document that are handed to Spark's writer together
+
 
 def write_manifest(metrics: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Parquet without the rows that hold an error."""
@@ -24,32 +27,43 @@ def write_manifest(metrics: DataFrame, path: str, partition_by: tuple[str, ...]
 
 
 def write_json_documents(entries: DataFrame, path: str, outer: str = "[]", most: int | None = None, compression: str = "none") -> None:
-    """JSON arrays (or, with ``{}``, objects), one per file: a partition's entries, or ``most`` of them at a time.
+    """JSON arrays (or, with ``{}``, objects), one per file: a partition's entries, or at most ``most`` of them at a time.
 
     ``entries``: one text column, an element or ``"key": value`` per row.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = 0  # entries of the document that is open
+    size = min(ROW, most or ROW)
+    rows = most // size if most else 0  # of a document; as many entries in each, but for the last of a partition
+
+    def joined(texts: pa.Array) -> pa.Array:
+        ends = np.minimum(np.arange(0, len(texts) + size, size), len(texts)).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(ends, texts), "\n,")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+        rest = None
         for batch in batches:
             texts = batch.column(0)
             if texts.null_count:
                 raise TypeError("an entry is null")
-            while len(texts):
-                room = most - held if most else len(texts)
-                some, texts = texts[:room], texts[room:]
-                lines = pc.binary_join_element_wise(pa.scalar(",", some.type), some, pa.scalar("", some.type))
-                if not held:
-                    lines = pa.concat_arrays([pa.array([outer[0] + some[0].as_py()], some.type), lines[1:]])
-                yield pa.RecordBatch.from_arrays([lines], ["value"])
-                held += len(some)
-                if held == most:
-                    yield pa.RecordBatch.from_arrays([pa.array([outer[1]])], ["value"])
-                    held = 0
-        if held:
+            texts = pa.concat_arrays([rest, texts]) if rest else texts
+            whole = len(texts) // size * size
+            if whole:
+                yield joined(texts[:whole])
+            rest = texts[whole:]
+        if rest:
+            yield joined(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for texts in blocks(batches):
+            at = done + np.arange(len(texts))
+            first, last = (at % rows == 0, at % rows == rows - 1) if rows else (at == 0, at < 0)
+            before, behind = (pa.array(np.where(x, y, z), texts.type) for x, y, z in ((first, outer[0], ","), (last, outer[1], "")))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(before, texts, behind, pa.scalar("", texts.type))], ["value"])
+            done += len(texts)
+        if done % rows if rows else done:
             yield pa.RecordBatch.from_arrays([pa.array([outer[1]])], ["value"])
 
-    # a document of ``most`` entries has one line more
-    entries.mapInArrow(run, "value string").write.option("maxRecordsPerFile", most + 1 if most else 0).text(path, compression=compression)
+    entries.mapInArrow(run, "value string").write.option("maxRecordsPerFile", rows).text(path, compression=compression)
 
 
 def replace_partitions(table: DataFrame, path: str, partition_by: str) -> None:

@@ -161,14 +161,15 @@ def test_packed_and_plain_files_together(spark, tmp_path, small_ranges, monkeypa
     assert [json.loads(e) for e in entries(spark, tmp_path)] == want
 
 
-def test_documents_of_bounded_length(spark, tmp_path):
-    rows = spark.range(0, 95, 1, 3).select(F.concat(F.lit('"k'), "id", F.lit('": {"v": '), "id", F.lit("}")))
-    sinks.write_json_documents(rows, str(tmp_path / "out"), "{}", most=10, compression="gzip")
-    files = glob.glob(f"{tmp_path}/out/part-*.gz")
-    documents = [json.loads(gzip.open(f).read()) for f in files]
-    assert sorted(map(len, documents)) == [1, 2, 2] + [10] * 9  # partitions of 31, 32 and 32
-    assert {k: v["v"] for d in documents for k, v in d.items()} == {f"k{i}": i for i in range(95)}
-    assert len(entries(spark, tmp_path / "out")) == 95
+@pytest.mark.parametrize(("row", "most", "lengths"), [(100, 10, [10, 10, 10, 1]), (4, 11, [8, 8, 8, 7]), (5, 10, [10, 10, 10, 1]), (5, 31, [30, 1]), (5, 40, [31]), (5, None, [31])])
+def test_documents_of_bounded_length(spark, tmp_path, monkeypatch, row, most, lengths):
+    monkeypatch.setattr(sinks, "ROW", row)
+    rows = spark.range(0, 93, 1, 3).select(F.concat(F.lit('"k'), "id", F.lit('": {"v": '), "id", F.lit("}")))
+    sinks.write_json_documents(rows, str(tmp_path / "out"), "{}", most=most, compression="gzip")
+    documents = [json.loads(gzip.open(f).read()) for f in sorted(glob.glob(f"{tmp_path}/out/part-*.gz"))]
+    assert list(map(len, documents)) == 3 * lengths
+    assert [kv for d in documents for kv in d.items()] == [(f"k{i}", {"v": i}) for i in range(93)]
+    assert len(entries(spark, tmp_path / "out")) == 93
 
 
 def test_whole_register_is_written_compressed_and_once(spark):
